@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["history"]
+_MODULES = ["history", "packing", "tokens"]
 
 
 def _modules() -> list:
