@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["history", "packing", "tokens"]
+_MODULES = ["history", "language", "lookalikes", "neardup", "packing", "pairs", "scans", "tokens", "truncation"]
 
 
 def _modules() -> list:
