@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actmill.operators import references
+from actmill.functions import text
+from actmill.operators import references, retrieval, segments
 
-MODULES = [references]
+MODULES = [text, references, segments, retrieval]
 
 
 def queries() -> dict:
