@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits (problem 2).
 
 Circulant MinHash: one permutation spreads the hashed features of a text over a universe, a second one, circularly shifted
-by k, gives coordinate k of the signature; ``ROWS`` successive coordinates make a band.  Texts that share a band are
+by k, gives coordinate k of the signature; successive coordinates make bands of a few rows.  Texts that share a band are
 candidates, a sketch of signature bits drops those that cannot be similar enough, and the exact Jaccard similarity of the
 feature sets decides.
 
@@ -9,8 +9,9 @@ Exact copies are one class: the identity of a text is its hash, so copies meet a
 travel as packed arrays, one blob per batch and part of the key space, with copies inside a batch already dropped, and each
 part is sorted on its own; pairs leave a part in blocks.
 
-At similarity s a pair is a candidate with probability 1 - (1 - s**ROWS)**bands: with 80 bands of 5 rows 0.92 at 0.5, 0.9985
-at 0.6 and 0.99997 at 0.7; the sketch keeps all but 1 in 1000 of the pairs at the threshold.
+At similarity s a pair is a candidate with probability 1 - (1 - s**rows)**bands: with 80 bands of 5 rows 0.92 at 0.5, 0.9985
+at 0.6 and 0.99997 at 0.7, with 96 bands of 12 rows 0.9989 at 0.8; the sketch keeps all but 1 in 1000 of the pairs at the
+threshold.  Before the texts of candidates are joined, a bitmap of fixed size drops the texts that cannot be one.
 
 Defined results: texts that are null or have no feature have no near-duplicates; shorter texts than a shingle have no
 shingle; repeated rows count once.  Copies of one text are near-duplicates of each other; a class of up to ``EXPANDED``
@@ -32,13 +33,17 @@ from pyspark.sql import functions as F
 
 from actmill.session import cut, shuffle_partitions, table
 
-ROWS, BANDS = 5, 80
+#: Rows of a band and number of bands, for long texts and for short ones that share most of their words anyway.
+LONG, SHORT = (5, 80), (12, 96)
+COORDINATES = max(r * b for r, b in (LONG, SHORT))
 #: Size of the universe that features are hashed into, a power of two.
 UNIVERSE = 1 << 20
 #: Coordinates whose lowest bit makes the sketch, and how many deviations below its expected agreement a pair may fall.
 SKETCH, DEVIATIONS = 256, 3.1
 #: Members up to which a class of copies is written out in pairs.
 EXPANDED = 20
+#: Bits of the bitmap of candidates.
+BITMAP = 1 << 24
 #: Texts per batch of the signature, and pairs per block that leaves a part.
 BATCH, BLOCK = 8192, 100_000
 SEED = 20240131
@@ -53,9 +58,9 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(SEED)
         first = rng.permutation(UNIVERSE).astype(np.int32)
         second = rng.permutation(UNIVERSE).astype(np.int32)
-        ring = np.concatenate([second, second[: BANDS * ROWS]])
+        ring = np.concatenate([second, second[:COORDINATES]])
         _STATE["first"] = first
-        _STATE["windows"] = np.lib.stride_tricks.sliding_window_view(ring, BANDS * ROWS)
+        _STATE["windows"] = np.lib.stride_tricks.sliding_window_view(ring, COORDINATES)
     return _STATE["first"], _STATE["windows"]  # type: ignore[return-value]
 
 
@@ -73,25 +78,23 @@ _HASHES = _Hashes()
 
 
 def features(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct ``shingle``-word sequences of all texts, one after the other, and how many each text has."""
+    """Hashes of the ``shingle``-word sequences of all texts, one after the other, and how many each text has; repeated ones stay."""
     words = [_WORD.findall(t.lower()) if t else [] for t in texts]
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     flat = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(sizes.sum()))
-    counts = np.maximum(sizes - shingle + 1, 0)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-    owner = np.repeat(np.arange(len(texts)), counts)
-    at = np.repeat(starts, counts) + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    mixed = np.zeros(len(owner), dtype=np.uint64)
+    mixed = np.zeros(max(len(flat) - shingle + 1, 0), dtype=np.uint64)
     for j in range(shingle):
-        mixed = (mixed ^ flat[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ flat[j : j + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    order = np.lexsort((mixed, owner))
-    mixed, owner = mixed[order], owner[order]
-    first = np.ones(len(mixed), dtype=bool)
-    if len(mixed):
-        first[1:] = (mixed[1:] != mixed[:-1]) | (owner[1:] != owner[:-1])
-    mixed, owner = mixed[first], owner[first]
-    return mixed, np.bincount(owner, minlength=len(texts)).astype(np.int64)
+    counts = np.maximum(sizes - shingle + 1, 0)
+    if shingle > 1 and len(mixed):  # sequences do not run from one text into the next
+        inside = np.ones(len(flat), dtype=bool)
+        ends = np.cumsum(sizes)
+        for j in range(1, shingle):
+            last = ends - j
+            inside[last[last >= ends - sizes]] = False
+        mixed = mixed[inside[: len(mixed)]]
+    return mixed, counts
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, coordinates: int) -> np.ndarray:
@@ -112,10 +115,10 @@ def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _bands(texts: DataFrame, shingle: int, bands: int, parts: int) -> DataFrame:
+def _bands(texts: DataFrame, shingle: int, rows: int, bands: int, parts: int) -> DataFrame:
     """``part, blob``: packed band keys (4 bytes each) and text ids (8 bytes each) of a batch."""
     rng = np.random.default_rng(SEED + 1)
-    weights = (rng.integers(1, 1 << 62, ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    weights = (rng.integers(1, 1 << 62, rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     salt = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +130,8 @@ def _bands(texts: DataFrame, shingle: int, bands: int, parts: int) -> DataFrame:
                 column = piece.column(1).take(pa.array(first)).to_pylist()
                 hashes, counts = features(column, shingle)
                 full = counts > 0
-                sig = signatures(hashes, counts, bands * ROWS)[full].astype(np.uint64)
-                keys = (sig.reshape(-1, bands, ROWS) * weights).sum(axis=2, dtype=np.uint64) ^ salt
+                sig = signatures(hashes, counts, bands * rows)[full].astype(np.uint64)
+                keys = (sig.reshape(-1, bands, rows) * weights).sum(axis=2, dtype=np.uint64) ^ salt
                 keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 keys = (keys ^ (keys >> np.uint64(32))).ravel()
                 who = np.repeat(ids[full], bands)
@@ -244,11 +247,20 @@ def _verify(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_texts(items: DataFrame, shingle: int, threshold: float, bands: int = BANDS, parts: int | None = None) -> DataFrame:
+def _maybe(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose id is not in ``needed``, by a bitmap of BITMAP bits, which is all that is broadcast."""
+    place = F.pmod(F.col("id"), F.lit(BITMAP))
+    bits = needed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return texts.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket")).filter(F.getbit(byte, at % 8) == 1).select(*texts.columns)
+
+
+def similar_texts(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG, parts: int | None = None) -> DataFrame:
     """``a, b, similarity``: different texts, by the hash of each, whose distinct shingles have at least ``threshold`` in common."""
     texts = items.filter("text is not null").select(_key(F.col("text")).alias("id"), "text")
     parts = parts or 2 * shuffle_partitions(items.sparkSession)
-    pairs = _candidates(_bands(texts, shingle, bands, parts))
+    pairs = _candidates(_bands(texts, shingle, *shape, parts))
     sketch = _sketches(texts, shingle).dropDuplicates(["id"])
     names = [f"s{j}" for j in range(SKETCH // 64)]
     a = sketch.select(F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in names])
@@ -258,21 +270,21 @@ def similar_texts(items: DataFrame, shingle: int, threshold: float, bands: int =
     most = expected + DEVIATIONS * (SKETCH * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5
     likely = cut(pairs.join(a, "a").join(b, "b").filter(differ <= most).select("a", "b"))
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    stored = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    stored = _maybe(texts, needed).join(needed, "id", "left_semi").dropDuplicates(["id"])
     full = likely.join(stored.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(stored.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return _verify(full, shingle, threshold)
 
 
-def near_duplicates(items: DataFrame, shingle: int, threshold: float, bands: int = BANDS) -> DataFrame:
+def near_duplicates(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG) -> DataFrame:
     """``key_a, key_b`` with key_a < key_b of the near-duplicates among ``key, text``."""
-    rows = items.filter("text is not null").select("key", "text").filter(F.regexp_count("text", F.lit(r"(?U)\w+")) >= shingle)
+    rows = items.filter("text is not null").select("key", "text").filter(F.col("text").rlike(rf"(?U)\w+(?:\W+\w+){{{shingle - 1}}}"))
     members = rows.select(_key(F.col("text")).alias("id"), "key").distinct()
     heads = members.groupBy("id").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n"))
     copies = cut(members.join(heads.filter("n > 1"), "id"))  # copies only
     star = copies.filter(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"))
     small = copies.filter(F.col("n") <= EXPANDED)
     inner = small.alias("x").join(small.alias("y"), "id").filter(F.col("x.key") < F.col("y.key")).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
-    found = cut(similar_texts(rows, shingle, threshold, bands))
+    found = cut(similar_texts(rows, shingle, threshold, shape))
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     linked = members.join(wanted, "id", "left_semi").join(heads, "id").filter((F.col("n") <= EXPANDED) | (F.col("key") == F.col("head"))).select("id", "key")
     across = found.join(linked.select(F.col("id").alias("a"), F.col("key").alias("k1")), "a").join(linked.select(F.col("id").alias("b"), F.col("key").alias("k2")), "b")
@@ -283,11 +295,11 @@ def near_duplicates(items: DataFrame, shingle: int, threshold: float, bands: int
 def _sets(spark, root: str):
     chunks = table(spark, root, "chunks").select(F.col("chunk_id").alias("key"), "text")
     acts = table(spark, root, "acts").select(F.col("doc_id").cast("string").alias("key"), F.col("subject").alias("text"))
-    return (("chunk", chunks, 3, 0.5, BANDS), ("act", acts, 1, 0.8, 40))
+    return (("chunk", chunks, 3, 0.5, LONG), ("act", acts, 1, 0.8, SHORT))
 
 
 def p2_found(spark, root: str) -> DataFrame:
-    parts = [near_duplicates(items, shingle, threshold, bands).select(F.lit(kind).alias("item_kind"), "key_a", "key_b") for kind, items, shingle, threshold, bands in _sets(spark, root)]
+    parts = [near_duplicates(items, shingle, threshold, shape).select(F.lit(kind).alias("item_kind"), "key_a", "key_b") for kind, items, shingle, threshold, shape in _sets(spark, root)]
     return parts[0].unionByName(parts[1])
 
 
