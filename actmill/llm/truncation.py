@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from actmill.llm.lines import BARE, ending, noise_of, split_header
 from actmill.llm.scans import OPENING, openings
 from actmill.llm.words import word_counts
-from actmill.session import table
+from actmill.session import cut, table
 
 #: A shape of last lines recurs when it makes up this share of all texts.
 RECURRING = 0.0005
@@ -91,7 +91,8 @@ def truncated(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataF
     rows = rows.join(starts, (F.substring("last", 1, OPENING) == F.col("opening")) & (F.length("last") >= OPENING), "left")
     titled = F.coalesce(F.col("opens"), F.lit(False)) | (F.length("last") >= 8) & F.coalesce(F.contains("title", F.col("last")), F.lit(False))
     rows = rows.select("chunk_id", "source", "length", *[F.when(titled, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("state", "shape", "token")])
-    rows = rows.withColumn("word", F.lower(F.regexp_extract("token", r"(?U)([\p{L}\p{M}]+)\P{L}*$", 1)))
+    # The evidence below reads these few columns many times, the texts only once.
+    rows = cut(rows.withColumn("word", F.lower(F.regexp_extract("token", r"(?U)([\p{L}\p{M}]+)\P{L}*$", 1))))
 
     unfinished = rows.filter(F.col("state").isin("open", "line", "cut"))
     totals = rows.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("state") == "open").cast("long")).alias("open"))
@@ -108,12 +109,12 @@ def truncated(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataF
     d = d.join(own, "word", "left")
     prefix = (F.coalesce("known", F.lit(0)) <= F.coalesce("own", F.lit(0))) & (F.coalesce("below", F.lit(0)) > 0)
     lower = F.col("token").rlike(r"(?U)^\p{Ll}")
-    cut = (
+    broken = (
         F.col("state").isin("open", "cut")
         | ((F.col("state") == "line") & (F.col("recurs").isNull() | (prefix & lower) | (F.coalesce("limit", F.lit(False)) & prefix)))
     )
     place = F.when(F.col("token").rlike(r"\d$"), "number").when(prefix, "word").otherwise("sentence")
-    return d.select("chunk_id", "source", cut.alias("cut"), F.when(cut, place).alias("place"), F.coalesce("limit", F.lit(False)).alias("at_limit"))
+    return d.select("chunk_id", "source", broken.alias("cut"), F.when(broken, place).alias("place"), F.coalesce("limit", F.lit(False)).alias("at_limit"))
 
 
 def _found(spark, root: str) -> DataFrame:
