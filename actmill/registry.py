@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from actmill.functions import text
-from actmill.operators import acts, obligations, references, retrieval, segments
+from actmill.operators import acts, evaluation, obligations, references, retrieval, segments
 
-MODULES = [text, references, segments, retrieval, acts, obligations]
+MODULES = [text, references, segments, retrieval, acts, obligations, evaluation]
 
 
 def queries() -> dict:
