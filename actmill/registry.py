@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from actmill.functions import text
 from actmill.operators import acts, evaluation, obligations, references, retrieval, segments
+from actmill.sources import corpus
+from actmill.streaming import limits
 
-MODULES = [text, references, segments, retrieval, acts, obligations, evaluation]
+MODULES = [text, references, segments, retrieval, acts, obligations, evaluation, corpus, limits]
 
 
 def queries() -> dict:
@@ -19,4 +21,4 @@ def oracles() -> dict[str, str]:
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return queries()["p6_found"](spark, "/root/testdata/sf0.001")
+    return queries()["search_bm25"](spark, "/root/testdata/sf0.001")
