@@ -201,7 +201,7 @@ def _few(words: DataFrame) -> dict[str, str | None] | None:
 
 def noise(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
     """``chunk_id, noise``: a row per kind of noise in the text or heading of a chunk."""
-    wrong = cut(misread(_vocabulary(chunks)))
+    wrong = cut(misread(cut(_vocabulary(chunks))))
     sent = _few(wrong)
     bad = frozenset(sent or ())
 
@@ -257,7 +257,7 @@ def openings(documents: DataFrame, acts: DataFrame) -> DataFrame:
 
 def repaired(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
     """``chunk_id, heading, text``: heading and text as continuous paragraphs, every chunk once."""
-    wrong = cut(misread(_vocabulary(chunks)))
+    wrong = cut(misread(cut(_vocabulary(chunks))))
     sent = _few(wrong.filter("right is not null"))
     if sent is None:
         raise ValueError(f"more than {SENT} corrections; repair them in batches of documents")
