@@ -116,7 +116,7 @@ def _key(text: Column) -> Column:
 
 
 def _bands(texts: DataFrame, shingle: int, rows: int, bands: int, parts: int) -> DataFrame:
-    """``part, blob``: packed band keys (4 bytes each) and text ids (8 bytes each) of a batch."""
+    """``part, blob``: packed band keys (4 bytes each), places (2 bytes each) in the list of the text ids of the blob, and that list."""
     rng = np.random.default_rng(SEED + 1)
     weights = (rng.integers(1, 1 << 62, rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     salt = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
@@ -134,7 +134,8 @@ def _bands(texts: DataFrame, shingle: int, rows: int, bands: int, parts: int) ->
                 keys = (sig.reshape(-1, bands, rows) * weights).sum(axis=2, dtype=np.uint64) ^ salt
                 keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 keys = (keys ^ (keys >> np.uint64(32))).ravel()
-                who = np.repeat(ids[full], bands)
+                ids = ids[full]
+                who = np.repeat(np.arange(len(ids)), bands)
                 part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
@@ -142,7 +143,11 @@ def _bands(texts: DataFrame, shingle: int, rows: int, bands: int, parts: int) ->
                 who, out, begin = who[order], [], 0
                 for p, end in enumerate(ends):
                     if end > begin:
-                        out.append((p, low[begin:end].tobytes() + who[begin:end].tobytes()))
+                        here = who[begin:end]
+                        used = np.zeros(len(ids), dtype=bool)
+                        used[here] = True
+                        place = (np.cumsum(used) - 1)[here].astype(np.uint16)
+                        out.append((p, np.array([end - begin], np.uint32).tobytes() + low[begin:end].tobytes() + place.tobytes() + ids[used].tobytes()))
                     begin = end
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["part", "blob"])
 
@@ -156,9 +161,10 @@ def _candidates(bands: DataFrame) -> DataFrame:
         keys, who = [], []
         for batch in batches:
             for blob in batch.column(1).to_pylist():
-                n = len(blob) // 12
-                keys.append(np.frombuffer(blob, dtype=np.uint32, count=n))
-                who.append(np.frombuffer(blob, dtype=np.int64, count=n, offset=4 * n))
+                n = int(np.frombuffer(blob, dtype=np.uint32, count=1)[0])
+                keys.append(np.frombuffer(blob, dtype=np.uint32, count=n, offset=4))
+                place = np.frombuffer(blob, dtype=np.uint16, count=n, offset=4 + 4 * n)
+                who.append(np.frombuffer(blob, dtype=np.int64, offset=4 + 6 * n)[place])
         if not keys:
             return
         key, ids = np.concatenate(keys), np.concatenate(who)
