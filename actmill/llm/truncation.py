@@ -84,13 +84,14 @@ def trie_nodes(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
 
 def truncated(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
     """``chunk_id, source, cut, place``: every chunk, whether its text breaks off, and where (word, number, sentence)."""
-    rows = endings(chunks.select("chunk_id", "doc_id", "text"), ["chunk_id", "doc_id"], "text").dropDuplicates(["chunk_id"])
+    rows = endings(chunks.select("chunk_id", "doc_id", "text"), ["chunk_id", "doc_id"], "text")
+    rows = rows.groupBy("chunk_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "chunk_id"])).alias("r"), F.count(F.lit(1)).alias("copies")).select("chunk_id", "r.*", "copies")
     docs = documents.select("doc_id", "source", F.lower("title").alias("title")).dropDuplicates(["doc_id"])
     rows = rows.join(docs, "doc_id", "left")
     starts = openings(documents, acts).select("opening", F.lit(True).alias("opens"))
     rows = rows.join(starts, (F.substring("last", 1, OPENING) == F.col("opening")) & (F.length("last") >= OPENING), "left")
     titled = F.coalesce(F.col("opens"), F.lit(False)) | (F.length("last") >= 8) & F.coalesce(F.contains("title", F.col("last")), F.lit(False))
-    rows = rows.select("chunk_id", "source", "length", *[F.when(titled, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("state", "shape", "token")])
+    rows = rows.select("chunk_id", "source", "length", "copies", *[F.when(titled, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("state", "shape", "token")])
     # The evidence below reads these few columns many times, the texts only once.
     rows = cut(rows.withColumn("word", F.lower(F.regexp_extract("token", r"(?U)([\p{L}\p{M}]+)\P{L}*$", 1))))
 
@@ -104,8 +105,8 @@ def truncated(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataF
     vocabulary = word_counts(chunks.select("text"), WORD, lower=True)
     nodes = trie_nodes(vocabulary, unfinished.filter("word <> ''").select(F.col("word").alias("token"))).withColumnRenamed("token", "word")
     d = rows.join(recurring, "shape", "left").join(limits, "length", "left").join(nodes, "word", "left")
-    # The vocabulary counts the cut token itself, once per text that ends with it.
-    own = unfinished.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("own"))
+    # The vocabulary counts the cut token itself, once per row that ends with it.
+    own = unfinished.filter("word <> ''").groupBy("word").agg(F.sum("copies").alias("own"))
     d = d.join(own, "word", "left")
     prefix = (F.coalesce("known", F.lit(0)) <= F.coalesce("own", F.lit(0))) & (F.coalesce("below", F.lit(0)) > 0)
     lower = F.col("token").rlike(r"(?U)^\p{Ll}")
