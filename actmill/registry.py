@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actmill.functions import text
+from actmill.functions import restoration, text
 from actmill.operators import acts, evaluation, obligations, references, retrieval, segments
+from actmill.plans import index
 from actmill.sources import corpus
 from actmill.streaming import limits
 
-MODULES = [text, references, segments, retrieval, acts, obligations, evaluation, corpus, limits]
+MODULES = [text, restoration, references, segments, retrieval, acts, obligations, evaluation, corpus, limits, index]
 
 
 def queries() -> dict:
