@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actmill.session import cut, shuffle_partitions, table
+from actmill.session import cut, table
 
 #: Rows of a band and number of bands, for long texts and for short ones that share most of their words anyway.
 LONG, SHORT = (5, 80), (12, 96)
@@ -44,6 +44,8 @@ SKETCH, DEVIATIONS = 256, 3.1
 EXPANDED = 20
 #: Bits of the bitmap of candidates.
 BITMAP = 1 << 24
+#: Band keys that one part of the key space should hold; a part is sorted in one task.
+PART = 4_000_000
 #: Texts per batch of the signature, and pairs per block that leaves a part.
 BATCH, BLOCK = 8192, 100_000
 SEED = 20240131
@@ -116,7 +118,7 @@ def _key(text: Column) -> Column:
 
 
 def _bands(texts: DataFrame, shingle: int, rows: int, bands: int, parts: int) -> DataFrame:
-    """``part, blob``: packed band keys (4 bytes each), places (2 bytes each) in the list of the text ids of the blob, and that list."""
+    """``part, blob``: packed band keys (4 bytes each) in the order of their texts, the text ids (8 bytes each), and the keys per text (1 byte each)."""
     rng = np.random.default_rng(SEED + 1)
     weights = (rng.integers(1, 1 << 62, rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     salt = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
@@ -143,11 +145,10 @@ def _bands(texts: DataFrame, shingle: int, rows: int, bands: int, parts: int) ->
                 who, out, begin = who[order], [], 0
                 for p, end in enumerate(ends):
                     if end > begin:
-                        here = who[begin:end]
-                        used = np.zeros(len(ids), dtype=bool)
-                        used[here] = True
-                        place = (np.cumsum(used) - 1)[here].astype(np.uint16)
-                        out.append((p, np.array([end - begin], np.uint32).tobytes() + low[begin:end].tobytes() + place.tobytes() + ids[used].tobytes()))
+                        per = np.bincount(who[begin:end], minlength=len(ids))
+                        used = np.flatnonzero(per)
+                        head = np.array([end - begin, len(used)], np.uint32)
+                        out.append((p, head.tobytes() + low[begin:end].tobytes() + ids[used].tobytes() + per[used].astype(np.uint8).tobytes()))
                     begin = end
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["part", "blob"])
 
@@ -161,10 +162,10 @@ def _candidates(bands: DataFrame) -> DataFrame:
         keys, who = [], []
         for batch in batches:
             for blob in batch.column(1).to_pylist():
-                n = int(np.frombuffer(blob, dtype=np.uint32, count=1)[0])
-                keys.append(np.frombuffer(blob, dtype=np.uint32, count=n, offset=4))
-                place = np.frombuffer(blob, dtype=np.uint16, count=n, offset=4 + 4 * n)
-                who.append(np.frombuffer(blob, dtype=np.int64, offset=4 + 6 * n)[place])
+                n, m = np.frombuffer(blob, dtype=np.uint32, count=2).tolist()
+                keys.append(np.frombuffer(blob, dtype=np.uint32, count=n, offset=8))
+                per = np.frombuffer(blob, dtype=np.uint8, count=m, offset=8 + 4 * n + 8 * m)
+                who.append(np.repeat(np.frombuffer(blob, dtype=np.int64, count=m, offset=8 + 4 * n), per))
         if not keys:
             return
         key, ids = np.concatenate(keys), np.concatenate(who)
@@ -265,7 +266,7 @@ def _maybe(texts: DataFrame, needed: DataFrame) -> DataFrame:
 def similar_texts(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG, parts: int | None = None) -> DataFrame:
     """``a, b, similarity``: different texts, by the hash of each, whose distinct shingles have at least ``threshold`` in common."""
     texts = items.filter("text is not null").select(_key(F.col("text")).alias("id"), "text")
-    parts = parts or 2 * shuffle_partitions(items.sparkSession)
+    parts = parts or max(4, -(-texts.count() * shape[1] // PART))
     pairs = _candidates(_bands(texts, shingle, *shape, parts))
     sketch = _sketches(texts, shingle).dropDuplicates(["id"])
     names = [f"s{j}" for j in range(SKETCH // 64)]
