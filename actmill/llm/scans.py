@@ -257,18 +257,26 @@ def openings(documents: DataFrame, acts: DataFrame) -> DataFrame:
 
 def repaired(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
     """``chunk_id, heading, text``: heading and text as continuous paragraphs, every chunk once."""
-    wrong = cut(misread(cut(_vocabulary(chunks))))
-    sent = _few(wrong.filter("right is not null"))
-    if sent is None:
-        raise ValueError(f"more than {SENT} corrections; repair them in batches of documents")
+    wrong = cut(misread(cut(_vocabulary(chunks)))).filter("right is not null")
+    sent = _few(wrong)
 
-    def fix(word: re.Match) -> str:
-        w = word[0]
-        core = w.rstrip("!")
-        right = sent.get(core.lower())
-        if right is None:
-            return w
-        return (right.upper() if core.isupper() and len(core) > 1 else right.capitalize() if core[:1].isupper() else right) + w[len(core) :]
+    def fix(words: dict[str, str]):
+        def one(word: re.Match) -> str:
+            w = word[0]
+            core = w.rstrip("!")
+            right = words.get(core.lower())
+            if right is None:
+                return w
+            return (right.upper() if core.isupper() and len(core) > 1 else right.capitalize() if core[:1].isupper() else right) + w[len(core) :]
+
+        return one
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, parts in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                out += [(i, w) for w in {x.rstrip("!") for p in parts for x in _TOKEN.findall(_clean(p).lower())} if _LETTER.search(w)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.string())], names=["w_id", "word"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,14 +285,20 @@ def repaired(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, headings, texts, extra = (c.to_pylist() for c in batch.columns)
-            clean = lambda t, e=(): None if t is None else _TOKEN.sub(fix, "\n".join(Page(t, set(e or ())).paragraphs()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(h) for h in headings], pa.string()), pa.array([clean(t, e) for t, e in zip(texts, extra)], pa.string())], names=["chunk_id", "heading", "text"])
+            _, headings, texts, extra, own = (c.to_pylist() for c in batch.columns)
+            fixes = [fix(sent if sent is not None else {x["word"]: x["right"] for x in o or ()}) for o in own]
+            clean = lambda t, f, e=(): None if t is None else _TOKEN.sub(f, "\n".join(Page(t, set(e or ())).paragraphs()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(h, f) for h, f in zip(headings, fixes)], pa.string()), pa.array([clean(t, f, e) for t, f, e in zip(texts, fixes, extra)], pa.string())], names=["chunk_id", "heading", "text"])
 
     lines = chunks.select("chunk_id", "text").mapInArrow(candidates, "c_id string, line string, arg string").distinct()
     headers = lines.join(openings(documents, acts), F.col("arg") == F.col("opening"), "left_semi").groupBy("c_id").agg(F.collect_set("line").alias("extra"))
     rows = chunks.select("chunk_id", "heading", "text").dropDuplicates(["chunk_id"]).join(headers, F.col("chunk_id") == F.col("c_id"), "left")
-    return rows.select("chunk_id", "heading", "text", "extra").mapInArrow(run, "chunk_id string, heading string, text string")
+    if sent is None:  # too many corrections to send: each chunk gets its own by a join
+        found = chunks.select("chunk_id", "text", "heading").mapInArrow(words_of, "w_id string, word string").distinct().join(wrong, "word")
+        rows = rows.join(found.groupBy("w_id").agg(F.collect_list(F.struct("word", "right")).alias("own")), F.col("chunk_id") == F.col("w_id"), "left")
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("array<struct<word:string,right:string>>"))
+    return rows.select("chunk_id", "heading", "text", "extra", "own").mapInArrow(run, "chunk_id string, heading string, text string")
 
 
 def p7_found(spark, root: str) -> DataFrame:

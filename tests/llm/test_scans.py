@@ -33,6 +33,7 @@ def test_kinds_of_noise(spark):
 def test_the_joined_path_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(sc, "SENT", 0)
     assert ("m", "misread") in {tuple(r) for r in sc.noise(*tables(spark, ROWS)).collect()}
+    assert "tatimin dhe kodit" in {r.chunk_id: r.text for r in sc.repaired(*tables(spark, ROWS)).collect()}["m"]
 
 
 def test_repair(spark):
