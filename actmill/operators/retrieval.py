@@ -31,6 +31,8 @@ HITS_READ, PER_ARTICLE, LEAST_SCORE = 4, 2, 0.08
 # ----------------------------------------------------------------------------------------------------------------------
 #: Dimensions of the built-in encoder, a stand-in for a neural one: a text's terms hashed into signed sums.
 DIMENSIONS = 64
+#: Query terms up to which the terms are sent to the postings.
+SENT = 100_000
 #: Rows of a block of the dense arm.
 BLOCK = 2048
 
@@ -87,9 +89,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
     mean = raw.groupBy("strategy").agg(F.avg("raw").alias("mean"))
     idf = raw.join(F.broadcast(mean), "strategy").select("strategy", "term", "avgdl", F.when(F.col("raw") < 0, NEGATIVE_IDF * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("qid", F.explode(tx.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = idf.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = flat.join(weighted, ["strategy", "term"]).withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    scored = hits.select("strategy", "term", "chunk_id", "w").join(asked, "term").groupBy("qid", "strategy", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 9).alias("score"))
+    weighted = idf.join(asked, "term").select("strategy", "term", "avgdl", "qid", (F.col("idf") * F.col("qtf") * (K1 + 1)).alias("w"))
+    if asked.count() <= SENT:  # query terms only; beyond that the join shuffles
+        weighted = F.broadcast(weighted)
+    part = F.col("w") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = flat.join(weighted, ["strategy", "term"]).groupBy("qid", "strategy", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
     return top(scored.filter("score > 0"), ["qid", "strategy"], k, [F.desc("score"), F.asc("chunk_id")])
 
 
