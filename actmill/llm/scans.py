@@ -10,8 +10,9 @@
              by up to three such differences are joined with the frequent words of the corpus; partners that are drawn with
              the same strokes are verified, and the best-ranked one is the correction.  A word with a foreign sign between its letters is misread even without a partner.
 
-Words are counted over all texts and headings, after broken words are joined and page marks taken out.  The misread words
-are sent to the workers only while they are few (``SENT``); beyond that the words of the texts are joined with them.
+Words are counted after broken words are joined and page marks taken out, in two ways: over all texts and headings, which
+tells how frequent the intended word is, and over the different texts and headings, which tells how often a misread word was
+read, so that copies of one page cannot make a misreading frequent.  The misread words are sent to the workers only while they are few (``SENT``); beyond that the words of the texts are joined with them.
 
 Repair joins lines into paragraphs, removes page marks and broken-word marks, and applies the corrections.
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actmill.llm.lines import BARE, noise_of, split_header
-from actmill.llm.words import word_counts
+from actmill.llm.words import weighted_counts
 from actmill.session import cut, table
 
 #: Signs read in place of letters, and the letters.
@@ -40,7 +41,7 @@ CONFUSIONS = (
     ("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "n"), ("ii", "u"), ("ri", "n"), ("vv", "w"), ("nn", "rm"),
 )
 SIGNS = "0-9|!†€¢"
-#: How many times as frequent the intended word must be, for words of letters only and for words with signs.
+#: How many times as frequent the intended word must be (all rows) as the misread one (different texts), for words of letters only and for words with signs.
 RATIO_LETTERS, RATIO_SIGNS = 20, 1
 #: Confusions per word that are looked for.
 DEEP = 3
@@ -134,9 +135,13 @@ def _clean(text: str | None) -> str:
 
 
 def _vocabulary(chunks: DataFrame) -> DataFrame:
-    """``word, n`` of texts and headings, broken words joined."""
-    words = word_counts(chunks.select("text", "heading"), TOKEN, lower=True, keep=r"[^\W\d_]", clean=_clean)
-    return words.groupBy(F.rtrim(F.col("word"), F.lit("!")).alias("word")).agg(F.sum("n").alias("n")).filter("word <> ''")
+    """``word, n, n_rows`` of texts and headings, broken words joined: occurrences in different texts and headings, and in all rows."""
+    rows = F.count(F.lit(1)).alias("rows")
+    texts = chunks.groupBy("text").agg(rows)
+    headings = chunks.groupBy("heading", F.xxhash64("text").alias("of")).agg(rows)
+    parts = texts.unionByName(headings.select(F.col("heading").alias("text"), "rows"))
+    words = weighted_counts(parts.filter("text is not null").select("text", "rows"), TOKEN, lower=True, keep=r"[^\W\d_]", clean=_clean)
+    return words.groupBy(F.rtrim(F.col("word"), F.lit("!")).alias("word")).agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows")).filter("word <> ''")
 
 
 def _plain(word: Column) -> Column:
@@ -183,7 +188,7 @@ def misread(vocabulary: DataFrame) -> DataFrame:
         level = F.array_distinct(F.flatten(F.transform(level, lambda x: F.transform(F.col("one"), lambda y: x + y))))
         sums.append(level)
     probes = rare.select("word", "n", "odd", F.explode(F.array_distinct(F.concat(*sums))).alias("shift"), "hash").withColumn("key", F.col("hash") + F.col("shift"))
-    right = words.filter(F.col("word").rlike(letters)).select(F.col("word").alias("right"), F.col("n").alias("n_right"), F.col("hash").alias("key"))
+    right = words.filter(F.col("word").rlike(letters)).select(F.col("word").alias("right"), F.col("n_rows").alias("n_right"), F.col("hash").alias("key"))
     need = F.when(F.col("odd"), RATIO_SIGNS).otherwise(RATIO_LETTERS) * F.col("n")
     pairs = probes.join(right, "key").filter((F.col("n_right") > F.greatest(need, F.lit(1))) & (F.col("word") != F.col("right")) & (_strokes(F.col("word")) == _strokes(F.col("right"))))
     pairs = pairs.withColumn("apart", F.levenshtein("word", "right"))

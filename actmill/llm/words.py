@@ -42,3 +42,36 @@ def word_counts(df: DataFrame, pattern: str, lower: bool = False, keep: str | No
         yield out()
 
     return df.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def weighted_counts(df: DataFrame, pattern: str, lower: bool = False, keep: str | None = None, clean: Callable[[str], str] | None = None) -> DataFrame:
+    """``word, n, n_rows`` over the texts of ``df``, a text and the number of rows that hold it: matches in the texts, and in all their rows."""
+    find = re.compile(pattern).findall
+    wanted = re.compile(keep).search if keep else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        more: Counter[str] = Counter()  # occurrences in the further rows of texts stored several times
+
+        def out() -> pa.RecordBatch:
+            words = [w for w in held if wanted(w)] if wanted else list(held)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64()), pa.array([held[w] + more[w] for w in words], pa.int64())], names=["word", "n", "n_rows"])
+
+        for batch in batches:
+            for t, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if t and clean:
+                    t = clean(t)
+                if not t:
+                    continue
+                words = find(t.lower() if lower else t)
+                held.update(words)
+                if rows > 1:
+                    for w in words:
+                        more[w] += rows - 1
+            if len(held) >= HELD:
+                yield out()
+                held.clear()
+                more.clear()
+        yield out()
+
+    return df.mapInArrow(run, "word string, n long, n_rows long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))

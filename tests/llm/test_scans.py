@@ -44,3 +44,11 @@ def test_repair(spark):
 
 def test_empty(spark):
     assert sc.noise(*(x.limit(0) for x in tables(spark, ROWS))).count() == 0
+
+
+def test_copies_do_not_make_a_misreading_frequent(spark):
+    copies = [(f"c{i}", i, "drejtoria shqyrton tatirnin", "Njoftirni") for i in range(20)]
+    other = [(f"o{i}", 100 + i, f"{GOOD}numri {i} njoftimi", None) for i in range(40)]
+    rows = tables(spark, copies + other)
+    assert {tuple(r) for r in sc.noise(*rows).collect()} == {(c[0], "misread") for c in copies}
+    assert {(r.heading, r.text) for r in sc.repaired(*rows).filter("chunk_id like 'c%'").collect()} == {("Njoftimi", "drejtoria shqyrton tatimin")}
