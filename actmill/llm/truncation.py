@@ -1,10 +1,11 @@
 """Text cut off by field limits (problem 4).
 
-A text that ends without a sign of its end is unfinished.  Evidence decides what that means: the trie of the corpus
-vocabulary tells whether the last token is an unknown proper prefix of known words (cut inside a word); the shapes of
-last lines tell whether the line is a table line or signature, which recur over the corpus, or the start of a sentence;
-and lengths tell whether the text stops at a field limit, a length at which the corpus has far more unfinished texts than
-finished ones.  Page marks after the text are taken off first, and so is a last line that repeats the opening of a title.
+A text that ends without a sign of its end is unfinished, and this rule gives the rows; the shapes of last lines tell
+whether the line is a table line or signature, which recur over the corpus, or the start of a sentence.  The trie of the
+corpus vocabulary tells whether the last token is an unknown proper prefix of known words (cut inside a word), and lengths
+whether the text stops at a field limit, a length at which the corpus has far more unfinished texts than finished ones;
+both tell the place of a cut, and decide only where the shape of the last line recurs.  Alone they cannot give the rows:
+a cut between words leaves a known word, and finished texts end in unknown prefixes and at field limits too.  Page marks after the text are taken off first, and so is a last line that repeats the opening of a title.
 
 The trie is a table of prefixes with the words below each; only the prefixes that some last token asks for are kept.
 All counts run over the whole corpus, and thresholds are shares, so that they mean the same at every size.
