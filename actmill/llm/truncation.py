@@ -28,7 +28,7 @@ from actmill.llm.scans import OPENING, openings
 from actmill.llm.words import word_counts
 from actmill.session import cut, table
 
-#: A shape of last lines recurs when it makes up this share of all texts.
+#: A shape of last lines recurs when it makes up this share of all different texts.
 RECURRING = 0.0005
 #: A length is a field limit when so many times more of its texts are unfinished than over all lengths.
 LIMIT_LIFT = 5.0
@@ -85,21 +85,23 @@ def trie_nodes(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
 
 def truncated(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
     """``chunk_id, source, cut, place``: every chunk, whether its text breaks off, and where (word, number, sentence)."""
-    rows = endings(chunks.select("chunk_id", "doc_id", "text"), ["chunk_id", "doc_id"], "text")
+    rows = endings(chunks.select("chunk_id", "doc_id", F.xxhash64("text").alias("text_id"), "text"), ["chunk_id", "doc_id", "text_id"], "text")
     rows = rows.groupBy("chunk_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "chunk_id"])).alias("r"), F.count(F.lit(1)).alias("copies")).select("chunk_id", "r.*", "copies")
     docs = documents.select("doc_id", "source", F.lower("title").alias("title")).dropDuplicates(["doc_id"])
     rows = rows.join(docs, "doc_id", "left")
     starts = openings(documents, acts).select("opening", F.lit(True).alias("opens"))
     rows = rows.join(starts, (F.substring("last", 1, OPENING) == F.col("opening")) & (F.length("last") >= OPENING), "left")
     titled = F.coalesce(F.col("opens"), F.lit(False)) | (F.length("last") >= 8) & F.coalesce(F.contains("title", F.col("last")), F.lit(False))
-    rows = rows.select("chunk_id", "source", "length", "copies", *[F.when(titled, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("state", "shape", "token")])
+    rows = rows.select("chunk_id", "source", "text_id", "length", "copies", *[F.when(titled, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("state", "shape", "token")])
     # The evidence below reads these few columns many times, the texts only once.
     rows = cut(rows.withColumn("word", F.lower(F.regexp_extract("token", r"(?U)([\p{L}\p{M}]+)\P{L}*$", 1))))
 
     unfinished = rows.filter(F.col("state").isin("open", "line", "cut"))
     totals = rows.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("state") == "open").cast("long")).alias("open"))
-    shapes = rows.filter("state = 'line'").groupBy("shape").agg(F.count(F.lit(1)).alias("n")).crossJoin(totals)  # totals: one row
-    recurring = shapes.filter((F.col("n") >= 2) & (F.col("n") >= RECURRING * F.col("all")) & F.col("shape").contains(" ")).select("shape", F.lit(True).alias("recurs"))
+    # Shapes recur over different texts; copies of one text are no evidence.
+    different = rows.select("text_id").distinct().agg(F.count(F.lit(1)).alias("texts"))
+    shapes = rows.filter("state = 'line'").select("shape", "text_id").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("n")).crossJoin(different)  # different: one row
+    recurring = shapes.filter((F.col("n") >= 2) & (F.col("n") >= RECURRING * F.col("texts")) & F.col("shape").contains(" ")).select("shape", F.lit(True).alias("recurs"))
     by_length = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("state") == "open").cast("long")).alias("o")).crossJoin(totals)
     limits = by_length.filter((F.col("o") > 1) & (F.col("o") / F.col("n") > LIMIT_LIFT * F.col("open") / F.col("all"))).select("length", F.lit(True).alias("limit"))
 

@@ -40,3 +40,10 @@ def test_trie(spark):
     v = spark.createDataFrame([("tatim", 4), ("tatime", 2), ("t", 1)], "word string, n long")
     a = spark.createDataFrame([("tat",), ("tatim",), ("zz",), ("tat",)], "token string")
     assert {tuple(r) for r in tr.trie_nodes(v, a).collect()} == {("tat", 0, 6), ("tatim", 4, 2)}
+
+
+def test_copies_of_a_cut_text_do_not_make_its_last_line_recur(spark):
+    copies = [(f"c{i}", i, "Afati i pagesës mbaroi.\nBrenda 48 muajve nga") for i in range(10)]
+    sign = [(f"s{i}", 1, f"Subjekti {i} paguan tatimin nga data.\nShefi i zyrës Bora") for i in range(5)]
+    got = run(spark, [*copies, *sign])
+    assert all(got[k] == (True, "sentence") for k, *_ in copies) and not any(got[k][0] for k, *_ in sign)
