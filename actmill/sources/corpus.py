@@ -98,6 +98,11 @@ def unseen(batch: DataFrame, manifest: DataFrame, key: str, per: str | None = No
     return top(new, [per], limit, [F.asc(key)]).drop("rank") if per and limit else new
 
 
+def unseen_by_batch(records: DataFrame, key: str, batch: str, order: str) -> DataFrame:
+    """``unseen`` batch after batch, without a limit: the first row of each key in order of arrival."""
+    return top(records.filter(F.col(key).isNotNull()), [key], 1, [F.asc(batch), F.asc(order)]).drop("rank")
+
+
 def office_text(files: DataFrame) -> DataFrame:
     """``path, text, error`` of ``path, content``: paragraphs of word files; other types are an error, not a failure."""
 
@@ -179,6 +184,11 @@ def manifest_new(spark, root: str) -> DataFrame:
     return unseen(r.filter("batch_no >= 8"), r.filter("batch_no < 8"), "doc_id", "category", 5).select("category", "doc_id")
 
 
+def manifest_unseen(spark, root: str) -> DataFrame:
+    """Every document that a batch brings and no earlier batch held, with that batch: what incremental ingest takes."""
+    return unseen_by_batch(_records(spark, root), "doc_id", "batch_no", "record_no").select("batch_no", "category", "doc_id")
+
+
 def source_domains(spark, root: str) -> DataFrame:
     d = table(spark, root, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "tjeter").otherwise(F.col("source")).alias("source"))
     return domain_of(d, table(spark, root, "sources")).groupBy("source_domain").agg(F.count(F.lit(1)).alias("n"))
@@ -237,7 +247,7 @@ def content_hashes(spark, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "manifest_latest": manifest_latest, "manifest_new": manifest_new, "source_domains": source_domains, "external_sources": external_sources, "url_ids": url_ids, "file_types": file_types,
+    "manifest_latest": manifest_latest, "manifest_new": manifest_new, "manifest_unseen": manifest_unseen, "source_domains": source_domains, "external_sources": external_sources, "url_ids": url_ids, "file_types": file_types,
     "category_links": category_links, "category_tree": category_tree, "listing_with_children": listing_with_children, "documents_left_out": documents_left_out, "content_hashes": content_hashes,
 }
 
@@ -245,6 +255,7 @@ _STEM = "replace(regexp_replace(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1),
 ORACLES = {
     "manifest_latest": "select doc_id, record_no, title from records qualify row_number() over (partition by doc_id order by record_no desc) = 1",
     "manifest_new": "with n as (select distinct category, doc_id from (select * from records where batch_no >= 8 qualify row_number() over (partition by doc_id order by record_no) = 1) where doc_id not in (select doc_id from records where batch_no < 8)) select category, doc_id from n qualify row_number() over (partition by category order by doc_id) <= 5",
+    "manifest_unseen": "select batch_no, category, doc_id from records r where doc_id is not null and not exists (select 1 from records e where e.doc_id = r.doc_id and (e.batch_no, e.record_no) < (r.batch_no, r.record_no))",
     "source_domains": "with d as (select case when doc_id % 10 = 0 then 'tjeter' else source end source from documents) select coalesce(s.domain, 'tatime') source_domain, count(*) n from d left join sources s using (source) group by 1",
     "external_sources": "select source, name from sources where strategy = 'pages'",
     "url_ids": f"select record_no, cast(('0x' || left(sha256(url), 8)) as bigint) % {ID_SPAN} + {ID_BASE} url_id, {_STEM} stem, regexp_matches(url, '(?i)\\.pdf([?#]|$)') is_pdf from records",

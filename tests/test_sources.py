@@ -59,3 +59,13 @@ def test_ingest_is_incremental(spark):
     b = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "a"), (4, "b")], "doc_id long, cat string")
     assert sorted(r.doc_id for r in co.unseen(b, m, "doc_id").collect()) == [2, 3, 4]
     assert sorted(r.doc_id for r in co.unseen(b, m, "doc_id", "cat", 1).collect()) == [2, 4]
+
+
+def test_every_unseen_document_of_every_batch_is_taken(spark, tmp_path):
+    rows = [(1, 0, 1, "a"), (2, 1, 1, "a"), *[(3 + i, 1, 10 + i, "a") for i in range(8)], (20, 2, 10, "a"), (21, 2, 30, "b"), (22, 2, 30, "c")]
+    r = spark.createDataFrame(rows, "record_no long, batch_no int, doc_id long, category string")
+    r.write.parquet(str(tmp_path / "records.parquet"))
+    got = sorted((x.batch_no, x.category, x.doc_id) for x in co.manifest_unseen(spark, str(tmp_path)).collect())
+    assert got == [(0, "a", 1), *[(1, "a", 10 + i) for i in range(8)], (2, "b", 30)]
+    for b in (0, 1, 2):  # the same as the step for one batch
+        assert {d for n, _, d in got if n == b} == {x.doc_id for x in co.unseen(r.filter(f"batch_no = {b}"), r.filter(f"batch_no < {b}"), "doc_id").collect()}
