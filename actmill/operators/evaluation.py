@@ -129,6 +129,29 @@ def apply_review(candidates: DataFrame, edits: DataFrame) -> DataFrame:
     return j.filter(F.coalesce("question", blank) != "").drop("new_question", "new_gold", "reviewed")
 
 
+def reviewed_edits(candidates: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits with their ``state``: ``unknown`` (no such candidate), ``unreviewed``, ``empty`` (reviewed without a question) or ``kept``; those without an id are left out."""
+    c = candidates.select("qid", "gold_doc_id", F.col("gold_article").alias("old_gold"), F.lit(True).alias("known"))
+    e = edits.select(F.trim("qid").alias("qid"), F.trim("question").alias("question"), F.trim("gold_article").alias("new_gold"), "reviewed").filter("qid <> ''")
+    state = F.when(F.col("known").isNull(), "unknown").when(~F.coalesce("reviewed", F.lit(False)), "unreviewed").when(F.coalesce("question", F.lit("")) == "", "empty").otherwise("kept")
+    return e.join(c, "qid", "left").select("qid", "question", "gold_doc_id", F.coalesce(F.nullif("new_gold", F.lit("")), F.col("old_gold")).alias("gold_article"), state.alias("state"))
+
+
+def import_review(candidates: DataFrame, edits: DataFrame, out_of_scope: DataFrame) -> DataFrame:
+    """``qid, question, gold_doc_id, gold_article, out_of_scope``: candidates after review, and every out-of-scope question, which needs none."""
+    columns = ["qid", "question", "gold_doc_id", "gold_article"]
+    kept = reviewed_edits(candidates, edits).filter("state = 'kept'").select(*columns, F.lit(False).alias("out_of_scope"))
+    return kept.unionByName(out_of_scope.select(*columns, F.lit(True).alias("out_of_scope")))
+
+
+def import_counts(candidates: DataFrame, edits: DataFrame, out_of_scope: DataFrame) -> DataFrame:
+    """One row: questions imported, out-of-scope ones among them, and edits left out as unreviewed, empty or unknown."""
+    n = lambda state: F.count_if(F.col("state") == state)
+    e = reviewed_edits(candidates, edits).agg(n("kept").alias("n_kept"), n("unreviewed").alias("n_unreviewed"), n("empty").alias("n_empty"), n("unknown").alias("n_unknown"))
+    both = e.crossJoin(out_of_scope.agg(F.count(F.lit(1)).alias("n_out_of_scope")))  # one row each
+    return both.select((F.col("n_kept") + F.col("n_out_of_scope")).alias("n_imported"), "n_out_of_scope", "n_unreviewed", "n_empty", "n_unknown")
+
+
 def _asked(spark, root):
     return rt.asked(spark, root)
 
@@ -240,6 +263,20 @@ def review_import(spark, root: str) -> DataFrame:
     return r.select("qid", "question", "gold_article")
 
 
+def _review(spark, root):
+    q = _questions(spark, root)
+    return q.filter("gold_doc_id is not null"), _edits(spark, root), q.filter("gold_doc_id is null")
+
+
+def review_merged(spark, root: str) -> DataFrame:
+    """The question set after import of a review: reviewed questions and all out-of-scope ones."""
+    return import_review(*_review(spark, root))
+
+
+def review_counts(spark, root: str) -> DataFrame:
+    return import_counts(*_review(spark, root))
+
+
 def review_progress(spark, root: str) -> DataFrame:
     """Reviewed and open questions per category, and the first that is open: drafted ones come first."""
     done = F.coalesce(F.col("notes") == "kontrolluar", F.lit(False))
@@ -256,7 +293,7 @@ def review_precision(spark, root: str) -> DataFrame:
 QUERIES = {
     "eval_grid": eval_grid, "eval_compare": eval_compare, "failure_taxonomy": failure_taxonomy, "rerank_ab": rerank_ab, "question_overlap": question_overlap, "questions_unsupported": questions_unsupported,
     "candidates_substantive": candidates_substantive, "candidates_sample": candidates_sample, "answers_sample": answers_sample, "answers_scored": answers_scored, "citations_checked": citations_checked,
-    "answers_open": answers_open, "review_import": review_import, "review_progress": review_progress, "review_precision": review_precision,
+    "answers_open": answers_open, "review_import": review_import, "review_merged": review_merged, "review_counts": review_counts, "review_progress": review_progress, "review_precision": review_precision,
 }
 
 
@@ -293,7 +330,12 @@ _PAIRS = " union all ".join(
     for i, a in enumerate(MODES) for b in MODES[i + 1 :]
 )
 
+_REVIEW = f"""with e as (select trim(question_id) qid, trim(question) nq, trim(gold_article) ng, coalesce(n_markers > 0, false) reviewed from {_AN} where eval_group = 'review' qualify row_number() over (partition by question_id order by answer_id desc) = 1),
+q as {_Q}, st as (select e.qid, nq question, gold_doc_id, coalesce(nullif(ng, ''), gold_article) gold_article, case when id is null then 'unknown' when not reviewed then 'unreviewed' when coalesce(nq, '') = '' then 'empty' else 'kept' end state from e left join (select * from q where gold_doc_id is not null) g on g.id = e.qid where e.qid <> '')"""
+
 ORACLES = {
+    "review_merged": f"{_REVIEW} select qid, question, gold_doc_id, gold_article, false out_of_scope from st where state = 'kept' union all select id, question, gold_doc_id, gold_article, true from q where gold_doc_id is null",
+    "review_counts": f"{_REVIEW}, o as (select count(*) n from q where gold_doc_id is null) select count_if(state = 'kept') + (select n from o) n_imported, (select n from o) n_out_of_scope, count_if(state = 'unreviewed') n_unreviewed, count_if(state = 'empty') n_empty, count_if(state = 'unknown') n_unknown from st",
     "eval_grid": f"with {_GRID} select *, round(100 * article_hits / greatest(total, 1), 4) article_rate, round(100 * doc_hits / greatest(total, 1), 4) doc_rate, chars // greatest(total, 1) mean_chars from gr",
     "eval_compare": f"with {_GRID}, rr as (select mode, strategy, 100 * article_hits / greatest(total, 1) r from gr) {_PAIRS}",
     "failure_taxonomy": _FAIL,

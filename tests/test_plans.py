@@ -40,3 +40,13 @@ def test_review(spark):
 def test_forms(spark, q, a, form):
     df = spark.createDataFrame([(q, a)], "q string, a string")
     assert df.select(ev.unsupported_form(F.col("q"), F.col("a"))).first()[0] == form
+
+
+def test_review_keeps_questions_out_of_scope_and_counts_what_it_leaves_out(spark):
+    q = "qid string, question string, gold_doc_id long, gold_article string"
+    c = spark.createDataFrame([("a", "vjetër", 1, "Neni 1"), ("b", "x", 2, "Neni 2"), ("c", "y", 3, "Neni 3")], q)
+    o = spark.createDataFrame([("o", "moti?", None, None), ("p", "futboll?", None, None)], q)
+    e = spark.createDataFrame([("a", " e re ", " ", True), ("b", "y", "z", False), ("c", " ", "", True), ("zz", "y", "z", True), ("o", "y", "z", True), (" ", "y", "z", True)], "qid string, question string, gold_article string, reviewed boolean")
+    assert sorted(tuple(r) for r in ev.import_review(c, e, o).collect()) == [("a", "e re", 1, "Neni 1", False), ("o", "moti?", None, None, True), ("p", "futboll?", None, None, True)]
+    assert tuple(ev.import_counts(c, e, o).first()) == (3, 2, 1, 1, 2)
+    assert tuple(ev.import_counts(c.limit(0), e.limit(0), o.limit(0)).first()) == (0, 0, 0, 0, 0)
