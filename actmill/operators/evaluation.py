@@ -81,6 +81,25 @@ def failures(chunks: DataFrame, questions: DataFrame, mode: str = "bm25", k: int
     return h.join(units, ["g_doc", "g_cite"], "left").select("qid", v.alias("verdict"), F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("doc_rank", F.lit(0)).alias("doc_rank"))
 
 
+def failure_totals(chunks: DataFrame, questions: DataFrame, mode: str = "bm25", k: int = rt.TOP, pool: int = rt.POOL) -> DataFrame:
+    """One row: questions, those per verdict, mean overlap of question and gold article of hits and of misses, and what a perfect re-ranker of the pool could reach."""
+    q = gold(questions).select("qid", "question", "gold_doc_id", tx.normalise_cite(F.col("gold_article")).alias("g_cite"))
+    first = chunks.filter("strategy = 'article'").groupBy(F.col("doc_id").alias("gold_doc_id"), tx.normalise_cite(F.col("cite")).alias("g_cite")).agg(F.min(F.struct("part_order", "chunk_id", "text"))["text"].alias("gold_text"))
+    o = q.join(first, ["gold_doc_id", "g_cite"], "left").select("qid", F.round(F.coalesce(rt.overlap(tx.tokens(F.col("question")), tx.tokens(F.col("gold_text"))), F.lit(0.0)), 3).alias("overlap"))
+    v = failures(chunks, questions, mode, k, pool).join(o, "qid")
+    hit, n = F.col("verdict") == "hit", lambda *names: F.count_if(F.col("verdict").isin(*names))
+    mean = lambda c: F.round(F.coalesce(F.avg(F.when(c, F.col("overlap"))), F.lit(0.0)), 6)
+    verdicts = ("hit", "rankable", "wrong_article_right_doc", "unreachable", "gold_article_not_in_index")
+    t = v.agg(F.count(F.lit(1)).alias("total"), *[n(x).alias(x) for x in verdicts], mean(hit).alias("overlap_hit"), mean(~hit).alias("overlap_miss"), n("hit", "rankable").alias("ceiling"))
+    return t.withColumn("ceiling_rate", F.round(rate(F.col("ceiling"), F.col("total")), 4))
+
+
+def carried_over(sample: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+    """A sample exported again, with the ``verdict, note`` given to its rows before; blank where there was no verdict."""
+    p = previous.filter(F.trim(F.coalesce("verdict", F.lit(""))) != "").groupBy(key).agg(F.max(F.struct(F.trim("verdict").alias("verdict"), F.trim(F.coalesce("note", F.lit(""))).alias("note"))).alias("p"))
+    return sample.join(p, key, "left").select(*[sample[c] for c in sample.columns], F.coalesce("p.verdict", F.lit("")).alias("verdict"), F.coalesce("p.note", F.lit("")).alias("note"))
+
+
 def with_gold_text(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Questions with the text of their gold article, its parts joined."""
     a = chunks.filter("strategy = 'article'").groupBy(F.col("doc_id").alias("gold_doc_id"), tx.normalise_cite(F.col("cite")).alias("g_cite")).agg(
@@ -174,6 +193,10 @@ def failure_taxonomy(spark, root: str) -> DataFrame:
     return failures(rt.stored(spark, root), _asked(spark, root))
 
 
+def failure_summary(spark, root: str) -> DataFrame:
+    return failure_totals(rt.stored(spark, root), _asked(spark, root))
+
+
 def rerank_ab(spark, root: str) -> DataFrame:
     """Questions whose gold article is found with and without re-ranking."""
     c, q = rt.stored(spark, root).filter("strategy = 'article'"), gold(_asked(spark, root))
@@ -291,7 +314,7 @@ def review_precision(spark, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "eval_grid": eval_grid, "eval_compare": eval_compare, "failure_taxonomy": failure_taxonomy, "rerank_ab": rerank_ab, "question_overlap": question_overlap, "questions_unsupported": questions_unsupported,
+    "eval_grid": eval_grid, "eval_compare": eval_compare, "failure_taxonomy": failure_taxonomy, "failure_summary": failure_summary, "rerank_ab": rerank_ab, "question_overlap": question_overlap, "questions_unsupported": questions_unsupported,
     "candidates_substantive": candidates_substantive, "candidates_sample": candidates_sample, "answers_sample": answers_sample, "answers_scored": answers_scored, "citations_checked": citations_checked,
     "answers_open": answers_open, "review_import": review_import, "review_merged": review_merged, "review_counts": review_counts, "review_progress": review_progress, "review_precision": review_precision,
 }

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from actmill.functions import restoration, text
 from actmill.operators import acts, evaluation, obligations, references, retrieval, segments
-from actmill.plans import index
+from actmill.plans import answers, index
 from actmill.sources import corpus
 from actmill.streaming import limits
 
-MODULES = [text, restoration, references, segments, retrieval, acts, obligations, evaluation, corpus, limits, index]
+MODULES = [text, restoration, references, segments, retrieval, acts, obligations, evaluation, corpus, limits, index, answers]
 
 
 def queries() -> dict:
