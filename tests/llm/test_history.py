@@ -1,6 +1,8 @@
+import os
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from actmill.llm import history as h
@@ -59,3 +61,52 @@ def test_hot_download_matches_a_plain_loop(spark):
 
 def test_empty(spark):
     assert h.duplicates(spark.createDataFrame([], S)).count() == 0
+
+
+def numbered(spark, numbers, hash_of="h{}"):
+    rows = [(i, 0, hash_of.format(i), f"https://x{i % 3}.example/akte/{i}.pdf", 3, "2024-01-01T00:00:00Z", "", "") for i in numbers]
+    return h.lines(spark.createDataFrame(rows, S))
+
+
+def bytes_of(df):
+    read = [r[0] for r in df.select(F.input_file_name()).distinct().collect()]
+    return sum(os.path.getsize(f.removeprefix("file://")) for f in read)
+
+
+def test_a_new_batch_reads_its_own_buckets_and_the_index_outlives_the_caller(spark, tmp_path):
+    first = numbered(spark, range(4000))
+    index = h.Index.create(first, str(tmp_path / "index"), buckets=64)
+    assert h.take(index, first).count() == 0
+    index = h.Index(spark, str(tmp_path / "index"))
+    read = {}
+    for n in (2, 6):
+        batch = numbered(spark, range(5000, 5000 + n), "h7")
+        sets = index.prefixes(h.token_sets(batch), 1.0)
+        asked, seen = index.buckets_of(sets, batch)
+        read[n] = bytes_of(index.postings(asked)) + bytes_of(index.sightings(seen))
+    every = bytes_of(index.postings(list(range(64)))) + bytes_of(index.sightings(list(range(64))))
+    assert read[2] < read[6] < 0.25 * every
+    assert sorted(r[0] for r in h.take(index, numbered(spark, [3, 9000, 9001], "h7")).collect()) == [3, 9000, 9001]
+    assert [r[0] for r in h.take(index, numbered(spark, [9002, 9003], "new")).collect()] == [9003]
+    assert [r[0] for r in h.take(index, numbered(spark, [9004], "new")).collect()] == [9004]
+
+
+@pytest.mark.parametrize("overlap", [0.5, 0.6, 1.0])
+def test_near_sets_match_brute_force_whatever_is_hot(spark, tmp_path, monkeypatch, overlap):
+    monkeypatch.setattr(h, "RANKED", 2)
+    monkeypatch.setattr(h, "HOT", 5)
+    rng = random.Random(3)
+    url = lambda: f"https://h{rng.randrange(3)}.example/p{rng.randrange(4)}?id={rng.randrange(1, 6)}"
+    made = [[(i, 0, None, url(), 3, None, "", "") for i in range(n)] for n in (60, 30)]
+    first, second = (h.lines(spark.createDataFrame(m, S)) for m in made)
+    index = h.Index.create(first, str(tmp_path / "index"), overlap=overlap)
+    h.take(index, first)
+    old, new = ({r.url: set(r.url_tokens) for r in x.collect()} for x in (first, second))
+    want = {(a, b) for a, x in new.items() for b, y in old.items() if len(x & y) >= overlap * len(x | y) - 1e-9}
+    assert {tuple(r) for r in h.near_sets(index, second, overlap).collect()} == want
+
+
+def test_a_hot_hash_and_rows_with_one_number(spark):
+    u = "https://x.example/akte/{}.pdf"
+    rows = [(i, i // 100, "same" if i % 3 else f"h{i}", u.format(i), 3, None) for i in range(300)] + [(300, 3, "same", u.format(7), 3, None)] * 2
+    assert found(spark, rows) == {i for i in range(2, 300) if i % 3} | {300}
