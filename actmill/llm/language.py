@@ -2,12 +2,12 @@
 
 Cross-parsing: the labelled samples of each language become one suffix automaton, and a text is cut greedily into the
 fewest phrases that each occur in the samples.  The language that needs fewest phrases, normalised by the logarithm of
-the size of its samples, wins; the confidence is how much more the runner-up needs.  Phrases do not cross word
-boundaries (a word is parsed with the blanks around it), so the count of a text is the sum over its words and each
-distinct word is parsed once per worker.
+the size of its samples, wins; the confidence is how much more the runner-up needs.  Phrases run across words; figures
+and punctuation count as blanks.
 
 Texts are cut into sentences; two or more successive sentences of one language are a whole paragraph in it, and
-successive sentences of one language form a segment.  Only the labelled samples, a fixed table, are sent to the workers.
+successive sentences of one language form a segment.  Only labelled samples, at most
+``SAMPLES`` a language, are sent to the workers.
 
 Defined results: null, empty and letterless texts have no language and are never found; a label that is null, blank or
 names no known language is missing; ties go to the language code that sorts first.  No samples or no rows give no rows.
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actmill.session import table
@@ -37,13 +38,21 @@ LEAST_WORDS = 4
 PARAGRAPH = 2
 #: Share of phrases by which the runner-up must exceed the winner for a sentence to change the language.
 CLEAR = 0.08
-#: Words kept per worker before the memory is emptied; only speed depends on it.
-KEPT_WORDS = 500_000
+#: Labelled samples per language that the automata are made of; more would make them larger, not the corpus's results better.
+SAMPLES = 2000
+#: A stretch without the end of a sentence is parsed in pieces of so many letters, and so many letters are parsed at once.
+PIECE, LETTERS = 512, 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-zëçàâäéèêëîïôöùûüßñáíóúìò])|\n\s*\n")
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
 class SuffixAutomaton:
     """All substrings of a text; a walk from the start goes on as long as what was read occurs in it."""
 
@@ -76,48 +85,92 @@ class SuffixAutomaton:
 
     def phrases(self, text: str) -> int:
         """Fewest phrases, each a substring of the automaton's text or one unknown character, that make up ``text``."""
-        n, node, walk = 1, 0, self.next
+        n, node, walk = 0, None, self.next
         for c in text:
-            following = walk[node].get(c)
+            following = walk[node].get(c) if node is not None else None
             if following is None:
                 n += 1
-                following = walk[0].get(c, 0)
+                following = walk[0].get(c)
             node = following
         return n
 
 
-class CrossParser(dict):
-    """Word -> row of its costs; a dictionary, so that known words cost one look-up."""
+class CrossParser:
+    """The automata of all languages as tables, walked by many texts at once.
+
+    A row of a table is a state, a column a letter; an entry holds the row of the next state and, in its lowest bit, whether
+    a phrase begins.  The last row is where a text starts and where an unknown letter leads: whatever follows begins a phrase.
+    """
 
     def __init__(self, samples: dict[str, str]) -> None:
-        super().__init__()
         self.langs = sorted(samples)
-        words = {k: " " + " ".join(_WORD.findall(samples[k].lower())) + " " for k in self.langs}
-        self.automata = [SuffixAutomaton(words[k]) for k in self.langs]
-        self.weight = np.array([log2(len(words[k]) + 1) for k in self.langs]) if self.langs else np.zeros(0)
-        self.rows: list[list[int]] = []
-
-    def __missing__(self, word: str) -> int:
-        self.rows.append([a.phrases(f" {word} ") for a in self.automata])
-        self[word] = len(self.rows) - 1
-        return self[word]
+        texts = {k: " " + " ".join(_WORD.findall(samples[k].lower())) + " " for k in self.langs}
+        letters = sorted(set("".join(texts.values())) - {" "})
+        self.width = len(letters) + 2  # 0 unknown letter, 1 blank
+        self.codes = np.where(_letters(), 0, 1).astype(np.uint8 if self.width < 256 else np.int32)
+        self.codes[[ord(c) for c in letters]] = np.arange(2, self.width)
+        code = {c: i for i, c in enumerate(letters, 2)} | {" ": 1}
+        self.tables = [self._table(SuffixAutomaton(texts[k]).next, code) for k in self.langs]
+        self.weight = np.array([log2(len(texts[k]) + 1) for k in self.langs]) if self.langs else np.zeros(0)
+
+    def _table(self, states: list[dict[str, int]], code: dict[str, int]) -> tuple[np.ndarray, int]:
+        fresh = len(states)
+        root = np.full(self.width, fresh * self.width << 1 | 1, dtype=np.int64)
+        for c, to in states[0].items():
+            root[code[c]] = to * self.width << 1 | 1
+        table = np.tile(root, (fresh + 1, 1))
+        for i, row in enumerate(states):
+            for c, to in row.items():
+                table[i, code[c]] = to * self.width << 1
+        return table.ravel().astype(np.int32), fresh * self.width
+
+    def _batch(self, texts: list[str]) -> np.ndarray:
+        lowered = [t.lower() for t in texts]
+        sizes = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered)) + 1
+        points = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = self.codes[points]
+        blank = codes == 1
+        begins = ~blank[1:] & blank[:-1]  # first letters of words
+        ends = np.cumsum(sizes)
+        words = np.diff(np.concatenate([[0], np.cumsum(begins)])[np.concatenate([[0], ends])])
+        keep = np.concatenate([[True], ~(blank[1:] & blank[:-1])])  # runs of blanks become one
+        place = np.cumsum(keep) - 1  # of each character, or of the blank it became
+        at = place[np.concatenate([[0], ends])]
+        codes = codes[keep].astype(np.int32)
+        # Each text runs from the blank before it to the blank after it, in pieces of at most PIECE.
+        lo, hi = at[:-1], at[1:] + 1
+        number = np.maximum(-(-(hi - lo) // PIECE), 1)
+        owner = np.repeat(np.arange(len(texts)), number)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+        start = lo[owner] + nth * PIECE
+        length = np.minimum(hi[owner] - start, PIECE)
+        order = np.argsort(-length, kind="stable")
+        owner, start, length = owner[order], start[order], length[order]
+        active = len(length) - np.searchsorted(length[::-1], np.arange(1, int(length[0]) + 1 if len(length) else 1), side="left")
+        rows = [np.full(len(start), fresh, dtype=np.int32) for _, fresh in self.tables]
+        counts = [np.zeros(len(start), dtype=np.int32) for _ in self.tables]
+        for j, n in enumerate(active.tolist()):
+            c = codes[start[:n] + j]
+            for (table, _), row, count in zip(self.tables, rows, counts):
+                step = table[row[:n] + c]
+                count[:n] += step & 1
+                np.right_shift(step, 1, out=row[:n])
+        out = np.zeros((len(texts), len(self.langs) + 1))
+        for k, count in enumerate(counts):
+            out[:, k] = np.bincount(owner, weights=count, minlength=len(texts)) * self.weight[k]
+        out[:, -1] = words
+        out[words == 0, :-1] = 0
+        return out
 
     def costs(self, texts: list[str]) -> np.ndarray:
         """Normalised phrases per text and language, and the number of words in the last column."""
-        if len(self) > KEPT_WORDS:
-            self.clear()
-            self.rows.clear()
-        words = [_WORD.findall(t.lower()) for t in texts]
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
-        out = np.zeros((len(texts), len(self.langs) + 1))
-        if len(ids):
-            table = np.asarray(self.rows, dtype=np.float32)
-            full = np.flatnonzero(sizes)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-            out[full, :-1] = np.add.reduceat(table[ids], starts, axis=0) * self.weight
-        out[:, -1] = sizes
-        return out
+        ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        parts, at = [np.zeros((0, len(self.langs) + 1))], 0
+        while at < len(texts):  # so many letters at once
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, side="right")))
+            parts.append(self._batch(texts[at:to]))
+            at = to
+        return np.concatenate(parts)
 
 
 def best(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +199,12 @@ def parser(samples: dict[str, str]) -> CrossParser:
 
 
 def labelled(samples: DataFrame) -> dict[str, str]:
-    """Text per language of the table of labelled samples, which is fixed and small."""
-    rows = samples.select("sample_id", "lang", "text").dropna().distinct().orderBy("sample_id").collect()
+    """Text per language of the labelled samples, of the first ``SAMPLES`` of each language."""
+    one = samples.select("sample_id", F.lower(F.trim("lang")).alias("lang"), "text").dropna().distinct()
+    rows = one.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("sample_id", "text"))).filter(F.col("r") <= SAMPLES).orderBy("sample_id", "text").collect()
     out: dict[str, list[str]] = {}
     for r in rows:
-        out.setdefault(r.lang.strip().lower(), []).append(r.text)
+        out.setdefault(r.lang, []).append(r.text)
     return {k: " ".join(v) for k, v in out.items()}
 
 

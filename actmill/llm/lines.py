@@ -41,7 +41,7 @@ def noise_of(line: str) -> str:
 
 
 _MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{2,}|…)\s*[\])]|…|\.{3,}|\.{2,}$)\s*$")
-_TERMINAL = re.compile(r"[.!?][\"”“»’')\]]*$")
+_CLOSERS = "\"”“»’')]"
 #: Abbreviations after which a sentence goes on: fixed values in the languages of the corpus.
 _OPEN_ABBREVIATION = re.compile(r"(?:\b(?:nr|no|n|núm|num|art|fq|sh|sh\.p|p|par|Abs|vgl|cfr|cf|dt|ca|z|bzw)|\bn°)\.$")
 _DATE_DOT = re.compile(r"\b(?:dem|zum|am|vom|den|der)\s\d{1,2}\.$")
@@ -49,6 +49,17 @@ _LIST = re.compile(r"^\s*(?:[a-zA-Zëç]{1,2}|\d{1,3}|[ivxIVX]{1,5})[).]\s+\S|^\
 _MARKERS = re.compile(r"(?:\s*\[\d+\])+(?=[.!?]?$)")
 
 
+def is_closed(text: str) -> bool:
+    """Whether a sentence ends where the text ends, closing quotes and brackets aside."""
+    return text.rstrip(_CLOSERS)[-1:] in (".", "!", "?")
+
+
+def without_mark(text: str) -> str:
+    """Text without a mark of omission at its end."""
+    inner = text[:-1].rstrip() if text[-1:] in (")", "]") else text
+    return _MARK.sub("", text).rstrip() if inner.endswith(("…", "..")) else text
+
+
 def open_bracket_closed(text: str) -> bool:
     """Whether the bracket that ends a text was opened before."""
     close = text[-1]
@@ -71,7 +82,7 @@ def ending(text: str, markers: bool = False) -> tuple[str, str, str]:
     end, on a line of its own after a finished one: a table line, a signature or the start of a paragraph).
     """
     t = text.rstrip()
-    if markers:
+    if markers and "]" in t[-2:]:
         t = _MARKERS.sub("", t).rstrip()
     if not t:
         return "empty", "", ""
@@ -79,12 +90,12 @@ def ending(text: str, markers: bool = False) -> tuple[str, str, str]:
     t = t.rstrip("�")
     if broken:
         return "cut", "", t.split()[-1] if t.split() else ""
-    bare = _MARK.sub("", t).rstrip()
+    bare = without_mark(t)
     marked = bare != t
     if not bare:
         return "empty", "", ""
-    token = re.split(r"\s", bare)[-1]
-    if _TERMINAL.search(bare):
+    token = bare.rsplit(None, 1)[-1]
+    if is_closed(bare):
         if bare.endswith(")") and not open_bracket_closed(bare):
             return "cut", "", token
         if _OPEN_ABBREVIATION.search(bare) or _DATE_DOT.search(bare):
@@ -99,6 +110,6 @@ def ending(text: str, markers: bool = False) -> tuple[str, str, str]:
     if marked:
         return "cut", "", token
     before = next((x.rstrip() for x in reversed(lines[:-1]) if x.strip()), "")
-    if before and (_TERMINAL.search(before) or before[-1] in ");:" or re.search(r"\d\s*[^\W\d_]{0,6}$", before) and len(before) < 45) and len(last.strip()) <= 60:
+    if before and (is_closed(before) or before[-1] in ");:" or re.search(r"\d\s*[^\W\d_]{0,6}$", before) and len(before) < 45) and len(last.strip()) <= 60:
         return "line", shape(last), token
     return "open", "", token

@@ -9,7 +9,25 @@ SAMPLES = [(0, "sq", SQ * 2), (1, "en", EN * 2), (2, "sq", None)]
 
 def test_phrases():
     a = lg.SuffixAutomaton("abcab")
-    assert a.phrases("abcab") == 1 and a.phrases("abab") == 2 and a.phrases("xy") >= 2 and a.phrases("") == 1
+    assert a.phrases("abcab") == 1 and a.phrases("abab") == 2 and a.phrases("xy") == 2 and a.phrases("xabc") == 2 and a.phrases("") == 0
+
+
+def test_many_texts_at_once_match_one_walk_each(monkeypatch):
+    """Phrases run across words; figures and punctuation are blanks; unknown letters are phrases of their own."""
+    monkeypatch.setattr(lg, "LETTERS", 70)
+    samples = {"sq": SQ, "en": EN}
+    model = lg.CrossParser(samples)
+    texts = [SQ, EN, "", "12 34", "ждаж tatim 5%", "Subjekti, mban -- dokumentet  për", "a", "the income\nfor\t\tthe month", "x" * 40]
+    walks = {k: lg.SuffixAutomaton(" " + " ".join(lg._WORD.findall(t.lower())) + " ") for k, t in samples.items()}
+    got = model.costs(texts)
+    for t, row in zip(texts, got):
+        words = lg._WORD.findall(t.lower())
+        want = [walks[k].phrases(" " + " ".join(words) + " ") if words else 0 for k in model.langs]
+        assert row[-1] == len(words) and [round(x) for x in row[:-1] / model.weight] == want
+    assert walks["en"].phrases(" keeps the documents for ") == 1
+    # A stretch longer than PIECE is parsed in pieces: at most a phrase more for each.
+    monkeypatch.setattr(lg, "PIECE", 16)
+    assert (0 <= (model.costs([SQ]) - got[:1])[0, :-1]).all() and round((model.costs([SQ]) - got[:1])[0, 1] / model.weight[1]) <= len(SQ) // 16 + 1
 
 
 def run(spark, tmp_path, docs):

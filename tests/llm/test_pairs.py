@@ -24,3 +24,21 @@ def test_alignment():
     a, b = list("abcbdab"), list("bdcaba")
     assert pa.common(a, b) == 4 and pa.common([], b) == 0
     assert pa.tokens("Ｋｕｒ  pаguhet​?") == ["kur", "paguhet"]
+
+
+def test_refusals_in_wordings_of_no_list(spark, monkeypatch):
+    """Learnt on one half of the labelled answers, found in the other half; the composed templates are left out."""
+    monkeypatch.setattr(pa, "COMPOSED", ())
+    rows = spark.read.parquet("/root/testdata/sf0.1/answers.parquet").filter("answer is not null")
+    refusals = pa.Refusals(pa.learn_refusals(rows.filter("answer_id % 2 = 0")))
+    rest = rows.filter("answer_id % 2 = 1").collect()
+    found = [refusals.among(pa.plain(r.answer)) for r in rest]
+    right = [f for r, f in zip(rest, found) if r.should_refuse and r.refused]
+    wrong = [f for r, f in zip(rest, found) if r.should_refuse is False and not r.refused]
+    assert len(right) > 40 and sum(right) / len(right) >= 0.9 and sum(wrong) / len(wrong) <= 0.01
+
+
+def test_lead_in_is_within_the_sentence():
+    q = pa.tokens(Q)
+    assert pa.lead_in(q, "Ju keni pyetur, nëse e kuptova mirë dhe pa shtuar asgjë tjetër nga ana ime: " + Q) == 15
+    assert pa.lead_in(q, "Po. " + Q) == 0 and pa.lead_in(q, Q) == 0 and pa.lead_in([], Q) == 0
