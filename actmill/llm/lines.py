@@ -43,7 +43,7 @@ def noise_of(line: str) -> str:
 _MARK = re.compile(r"\s*(?:[\[(]\s*(?:\.{2,}|…)\s*[\])]|…|\.{3,}|\.{2,}$)\s*$")
 _CLOSERS = "\"”“»’')]"
 #: Abbreviations after which a sentence goes on: fixed values in the languages of the corpus.
-_OPEN_ABBREVIATION = re.compile(r"(?:\b(?:nr|no|n|núm|num|art|fq|sh|sh\.p|p|par|Abs|vgl|cfr|cf|dt|ca|z|bzw)|\bn°)\.$")
+_OPEN_ABBREVIATION = re.compile(r"(?<![^\s(«“\"])(?:nr|no|n|núm|num|art|fq|sh|sh\.p|p|par|Abs|vgl|cfr|cf|dt|ca|z|bzw|n°)\.$")
 _DATE_DOT = re.compile(r"\b(?:dem|zum|am|vom|den|der)\s\d{1,2}\.$")
 _LIST = re.compile(r"^\s*(?:[a-zA-Zëç]{1,2}|\d{1,3}|[ivxIVX]{1,5})[).]\s+\S|^\s*[-–•*·]\s+\S")
 _MARKERS = re.compile(r"(?:\s*\[\d+\])+(?=[.!?]?$)")
@@ -110,6 +110,6 @@ def ending(text: str, markers: bool = False) -> tuple[str, str, str]:
     if marked:
         return "cut", "", token
     before = next((x.rstrip() for x in reversed(lines[:-1]) if x.strip()), "")
-    if before and (is_closed(before) or before[-1] in ");:" or re.search(r"\d\s*[^\W\d_]{0,6}$", before) and len(before) < 45) and len(last.strip()) <= 60:
+    if before and (is_closed(before) or before[-1] in ");:" or re.search(r"\d\s*[^\W\d_]{0,6}$", before) and len(before) < 45):
         return "line", shape(last), token
     return "open", "", token

@@ -3,16 +3,17 @@
 ``hyphen``   a word broken across lines: a hyphen-like mark after a letter at the end of a line and a small letter at the start
              of the next line of text, whatever page marks stand between;
 ``page_no``  a page number on a line of its own or at the edge of a header line;
-``header``   a running header: a line of one of the usual forms, or one that repeats the opening of a title or subject of the
-             collection in the middle of, or after, a text;
-``misread``  a word with wrongly recognised characters.  Each word has an anagram hash, the sum of the fifth powers of its
+``header``   a running header: a line of one of the usual forms, or one that repeats a title or subject of the collection from
+             its start, or recurs in chunks of one document, in the middle of, or after, a text;
+``misread``  a word with wrongly recognised characters.  Each word has an anagram hash, the sum of hashes of its
              characters, so a confusion such as ``rn`` for ``m`` shifts it by a fixed difference.  In SQL, rare words shifted
-             by up to three such differences are joined with the frequent words of the corpus; partners that are drawn with
-             the same strokes are verified, and the best-ranked one is the correction.  A word with a foreign sign between its letters is misread even without a partner.
+             by up to three such differences are joined with the frequent words of the corpus, those with more confusions by
+             their strokes; partners that are drawn with the same strokes are verified, and the best-ranked one is the correction.  A word with a foreign sign between its letters is misread even without a partner.
 
 Words are counted after broken words are joined and page marks taken out, in two ways: over all texts and headings, which
 tells how frequent the intended word is, and over the different texts and headings, which tells how often a misread word was
-read, so that copies of one page cannot make a misreading frequent.  The misread words are sent to the workers only while they are few (``SENT``); beyond that the words of the texts are joined with them.
+read, so that copies of one page cannot make a misreading frequent.  The
+words of the texts are joined with the misread ones; a bitmap of fixed size drops most of the others before.
 
 Repair joins lines into paragraphs, removes page marks and broken-word marks, and applies the corrections.
 
@@ -27,7 +28,9 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +46,14 @@ CONFUSIONS = (
 SIGNS = "0-9|!†€¢"
 #: How many times as frequent the intended word must be (all rows) as the misread one (different texts), for words of letters only and for words with signs.
 RATIO_LETTERS, RATIO_SIGNS = 20, 1
-#: Confusions per word that are looked for.
+#: Confusions per word that are looked for by differences of hashes; words with more are joined by their strokes.
 DEEP = 3
-#: Misread words sent to the workers at most; more are joined.
-SENT = 200_000
-#: Characters of a title that a header line must repeat.
-OPENING = 24
+#: Bits of a character's hash, so that sums stay within 64, and bits of the bitmap of misread words.
+HASH_MASK, BITMAP = (1 << 40) - 1, 1 << 24
+#: Chunks of a document in which a line recurs that is a running header; overlapping windows share a line in two.
+RECURRING = 2
+#: Characters of a title that a header line must repeat at least; it must be the start of the title as a whole.
+LEAST_START = 24
 TOKEN = r"[\w|!†€¢]+"
 
 _TOKEN = re.compile(TOKEN)
@@ -97,9 +102,9 @@ class Page:
                 before = next((x for x in reversed(full[:i]) if x), "")
                 self.bare.append((s, bool(re.search(r"[.!?;:]$", before))))
                 continue
-            if i and len(s) <= 70:
+            if i:
                 body, numbered = split_header(s)
-                if OPENING <= len(body) <= 60 and body[:1].isupper() and not re.search(r"[.;:,]$", body):
+                if len(body) >= LEAST_START and body[:1].isupper() and not re.search(r"[.;:,]$", body):
                     self.candidates.append((body.lower(), numbered, s))
             self.body.append(lines[i])
         for i, line in enumerate(self.body):
@@ -144,16 +149,9 @@ def _vocabulary(chunks: DataFrame) -> DataFrame:
     return words.groupBy(F.rtrim(F.col("word"), F.lit("!")).alias("word")).agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows")).filter("word <> ''")
 
 
-def _plain(word: Column) -> Column:
-    """Signs beyond the Latin blocks as unused Latin ones, so that powers stay small."""
-    return F.translate(word, "†€¢", "ƀƃƅ")
-
-
 def anagram(word: Column) -> Column:
-    """Sum of the fifth powers of the characters."""
-    chars = F.split(_plain(word), "")
-    fifth = lambda c: F.ascii(c).cast("long") * F.ascii(c) * F.ascii(c) * F.ascii(c) * F.ascii(c)
-    return F.aggregate(chars, F.lit(0).cast("long"), lambda total, c: total + F.coalesce(fifth(c), F.lit(0).cast("long")))
+    """Sum of the characters' hashes, the same for all orders of the characters."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda total, c: total + F.xxhash64(c).bitwiseAND(F.lit(HASH_MASK)))
 
 
 def _strokes(word: Column) -> Column:
@@ -164,13 +162,14 @@ def _strokes(word: Column) -> Column:
     return w
 
 
-def _power(s: str) -> int:
-    return sum(ord(c) ** 5 for c in s.translate(str.maketrans("†€¢", "ƀƃƅ")))
+def _hash(s: str) -> int:
+    """``anagram`` of a plain string."""
+    return sum(xxhash.xxh64_intdigest(c.encode(), seed=42) & HASH_MASK for c in s)
 
 
 def misread(vocabulary: DataFrame) -> DataFrame:
     """``word, right``: misread words and what they stand for; ``right`` is null where no frequent word fits."""
-    words = vocabulary.filter((F.length("word") <= 60) & F.col("word").rlike(r"^[\x{21}-\x{24f}†€¢]+$")).withColumn("hash", anagram(F.col("word")))
+    words = vocabulary.withColumn("hash", anagram(F.col("word")))
     letters = r"(?U)^\p{L}+$"
     sign = rf"[{SIGNS}]"
     n_letters = F.length(F.regexp_replace("word", r"(?U)[^\p{L}]", ""))
@@ -180,7 +179,7 @@ def misread(vocabulary: DataFrame) -> DataFrame:
     # A pair of letters may itself be misread, so it is also looked for with the signs read as letters.
     read = [F.col("word"), *[F.translate("word", "1|!0€†¢59682", f"{x}{x}{x}oetcsgbbz") for x in "il"]]
     there = lambda a: reduce(or_, [F.contains(w, F.lit(a)) for w in (read if len(a) > 1 else read[:1])])
-    shifts = F.array(*[F.when(there(a), F.lit(_power(b) - _power(a))) for a, b in CONFUSIONS])
+    shifts = F.array(*[F.when(there(a), F.lit(_hash(b) - _hash(a))) for a, b in CONFUSIONS])
     rare = rare.withColumn("one", F.array_compact(shifts)).withColumn("odd", odd)
     level = F.col("one")
     sums = [level]
@@ -190,7 +189,12 @@ def misread(vocabulary: DataFrame) -> DataFrame:
     probes = rare.select("word", "n", "odd", F.explode(F.array_distinct(F.concat(*sums))).alias("shift"), "hash").withColumn("key", F.col("hash") + F.col("shift"))
     right = words.filter(F.col("word").rlike(letters)).select(F.col("word").alias("right"), F.col("n_rows").alias("n_right"), F.col("hash").alias("key"))
     need = F.when(F.col("odd"), RATIO_SIGNS).otherwise(RATIO_LETTERS) * F.col("n")
-    pairs = probes.join(right, "key").filter((F.col("n_right") > F.greatest(need, F.lit(1))) & (F.col("word") != F.col("right")) & (_strokes(F.col("word")) == _strokes(F.col("right"))))
+    enough = (F.col("n_right") > F.greatest(need, F.lit(1))) & (F.col("word") != F.col("right"))
+    pairs = cut(probes.join(right, "key").filter(enough & (_strokes(F.col("word")) == _strokes(F.col("right")))).select("word", "right", "n_right"))
+    # Words with more confusions than DEEP are joined by their strokes, which are the same for any number of them.
+    long = F.length("word") > F.when(F.col("odd"), DEEP).otherwise(2 * DEEP)  # room for so many
+    deep = rare.filter(long).join(pairs.select("word").distinct(), "word", "left_anti").select("word", "n", "odd", _strokes(F.col("word")).alias("drawn"))
+    pairs = pairs.unionByName(deep.join(right.select("right", "n_right", _strokes(F.col("right")).alias("drawn")), "drawn").filter(enough).select("word", "right", "n_right"))
     pairs = pairs.withColumn("apart", F.levenshtein("word", "right"))
     best = pairs.groupBy("word").agg(F.max_by("right", F.struct(-F.col("apart"), "n_right", "right")).alias("right"))
     # A sign between letters tells on its own: three letters at least, and a small letter on both sides of a figure.
@@ -198,21 +202,44 @@ def misread(vocabulary: DataFrame) -> DataFrame:
     return words.filter(alone).select("word").join(best, "word", "full").select("word", "right")
 
 
-def _few(words: DataFrame) -> dict[str, str | None] | None:
-    """The words as a dictionary if they are few enough to be sent to every worker."""
-    rows = words.limit(SENT + 1).collect()
-    return {r.word: r.right for r in rows} if len(rows) <= SENT else None
+def _bitmap(words: DataFrame) -> np.ndarray:
+    """BITMAP bits, set where a word of ``words`` falls; of that size whatever the number of words."""
+    place = F.pmod(F.xxhash64("word"), F.lit(BITMAP)) + 1  # positions count from 1
+    rows = words.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for r in rows:  # buckets begin at 1
+        bits = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+        out[(r.bucket - 1) * len(bits) : r.bucket * len(bits)] = bits
+    return out
 
 
-def noise(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
-    """``chunk_id, noise``: a row per kind of noise in the text or heading of a chunk."""
-    wrong = cut(misread(cut(_vocabulary(chunks))))
-    sent = _few(wrong)
-    bad = frozenset(sent or ())
+class _Maybe(dict):
+    """Word -> whether the bitmap has it; kept per worker."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        at = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42) % (8 * len(self.bits))
+        self[word] = out = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return out
+
+
+def _marks(chunks: DataFrame, wrong: DataFrame) -> DataFrame:
+    """``chunk_id, doc_id, kind, arg, line`` of every mark of noise and of everything that may be one, each once.
+
+    Kinds that begin with ``?`` are to be confirmed: lines by titles, bare numbers by the regime, words by a join with ``wrong``.
+    Most words that are not wrong are dropped by a bitmap before.
+    """
+    bits = _bitmap(wrong)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = _Maybe(bits)
         for batch in batches:
-            out: list[tuple[int, str, str | None]] = []
+            out: list[tuple[int, str, str | None, str | None]] = []
             _, _, texts, headings = (c.to_pylist() for c in batch.columns)
             for i, (t, h) in enumerate(zip(texts, headings)):
                 kinds: set[str] = set()
@@ -224,46 +251,54 @@ def noise(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame
                     if "\n" in part:
                         page = Page(part)
                         kinds |= page.kinds
-                        out += [(i, "?numbered" if numbered else "?header", line[:OPENING]) for line, numbered, _ in page.candidates]
-                        out += [(i, "?ended" if ended else "?bare", None) for _, ended in page.bare]
+                        out += [(i, "?numbered" if numbered else "?header", line, s) for line, numbered, s in page.candidates]
+                        out += [(i, "?ended" if ended else "?bare", None, None) for _, ended in page.bare]
                         clean = "\n".join(page.paragraphs())
-                    words = {w.rstrip("!") for w in _TOKEN.findall(clean.lower())}
-                    if sent is None:
-                        found |= {w for w in words if _LETTER.search(w)}
-                    elif not bad.isdisjoint(words):
-                        kinds.add("misread")
-                out += [(i, k, None) for k in kinds]
-                out += [(i, "?word", w) for w in found]
+                    found.update(_TOKEN.findall(clean.lower()))
+                out += [(i, k, None, None) for k in kinds]
+                out += [(i, "?word", w, None) for w in {w.rstrip("!") for w in found} if maybe[w]]
             at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=["chunk_id", "doc_id", "kind", "arg"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array([o[k] for o in out], pa.string()) for k in (1, 2, 3)]], names=["chunk_id", "doc_id", "kind", "arg", "line"])
 
-    raw = chunks.select("chunk_id", "doc_id", "text", "heading").mapInArrow(run, "chunk_id string, doc_id long, kind string, arg string")
-    rows = cut(raw.distinct())  # marks and candidates only
+    raw = chunks.select("chunk_id", "doc_id", "text", "heading").mapInArrow(run, "chunk_id string, doc_id long, kind string, arg string, line string")
+    return cut(raw.distinct())  # marks and candidates only
+
+
+def running_headers(lines: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
+    """The rows ``doc_id, chunk_id, arg, ...`` whose line ``arg`` is a running header: one that starts a title, or recurs in chunks of one document."""
+    again = lines.groupBy("doc_id", "arg").agg(F.countDistinct("chunk_id").alias("n")).filter(F.col("n") >= RECURRING).select(F.col("doc_id").alias("d"), F.col("arg").alias("start"))
+    titled = lines.join(title_starts(documents, acts, lines.select("arg")), F.col("arg") == F.col("start"), "left_semi")
+    return titled.unionByName(lines.join(again, (F.col("doc_id") == F.col("d")) & (F.col("arg") == F.col("start")), "left_semi")).distinct()
+
+
+def noise(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
+    """``chunk_id, noise``: a row per kind of noise in the text or heading of a chunk."""
+    wrong = cut(misread(cut(_vocabulary(chunks))))
+    rows = _marks(chunks, wrong)
     sure = rows.filter(~F.col("kind").startswith("?")).select("chunk_id", F.col("kind").alias("noise"))
     maybe = rows.filter(F.col("kind").isin("?header", "?numbered"))
-    titled = maybe.join(openings(documents, acts), F.col("arg") == F.col("opening"), "left_semi")
-    headers = titled.select("chunk_id", F.explode(F.when(F.col("kind") == "?numbered", F.array(F.lit("header"), F.lit("page_no"))).otherwise(F.array(F.lit("header")))).alias("noise"))
+    headers = running_headers(maybe, documents, acts).select("chunk_id", F.explode(F.when(F.col("kind") == "?numbered", F.array(F.lit("header"), F.lit("page_no"))).otherwise(F.array(F.lit("header")))).alias("noise"))
     numbers = rows.filter(F.col("kind").isin("?bare", "?ended")).join(documents.select("doc_id", "regime").dropDuplicates(["doc_id"]), "doc_id", "left")
     window = (F.coalesce("regime", F.lit("")) == "standard") & F.contains(F.col("chunk_id"), F.lit(":fixed:")) & (F.col("kind") == "?ended")
     pages = numbers.filter(~window).select("chunk_id", F.lit("page_no").alias("noise"))
-    out = sure.unionByName(headers).unionByName(pages)
-    if sent is None:
-        out = out.unionByName(rows.filter("kind = '?word'").join(wrong, F.col("arg") == F.col("word"), "left_semi").select("chunk_id", F.lit("misread").alias("noise")))
-    return out.distinct()
+    words = rows.filter("kind = '?word'").join(wrong, F.col("arg") == F.col("word"), "left_semi").select("chunk_id", F.lit("misread").alias("noise"))
+    return sure.unionByName(headers).unionByName(pages).unionByName(words).distinct()
 
 
-def openings(documents: DataFrame, acts: DataFrame) -> DataFrame:
-    """``opening``: first characters of every title and subject of the collection, in lower case."""
-    t = F.lower(F.col("t"))
+def title_starts(documents: DataFrame, acts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``start``: those of the asked lines, in lower case, that a title or subject of the collection starts with, as a whole or from its topic on."""
+    t = F.lower(F.trim(F.col("t")))
     titles = documents.select(F.col("title").alias("t")).unionByName(acts.select(F.col("subject").alias("t"))).distinct()
-    starts = F.array(t, F.regexp_extract(t, r"^.*?[\s“\"„«](për\s.*)$", 1))
-    return titles.select(F.explode(starts).alias("s")).filter(F.length("s") >= OPENING).select(F.substring("s", 1, OPENING).alias("opening")).distinct()
+    both = F.array(t, F.regexp_extract(t, r"^.*?[\s“\"\„«](për\s.*)$", 1))
+    starts = titles.select(F.explode(both).alias("s")).filter(F.length("s") >= LEAST_START).distinct()
+    lengths = F.sequence(F.lit(LEAST_START), F.length("s"))
+    every = starts.select(F.explode(F.transform(lengths, lambda i: F.substring(F.col("s"), F.lit(1), i))).alias("start"))
+    return asked.select(F.col(asked.columns[0]).alias("start")).distinct().join(every, "start", "left_semi")
 
 
 def repaired(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
     """``chunk_id, heading, text``: heading and text as continuous paragraphs, every chunk once."""
-    wrong = cut(misread(cut(_vocabulary(chunks)))).filter("right is not null")
-    sent = _few(wrong)
+    wrong = cut(misread(cut(_vocabulary(chunks))).filter("right is not null"))
 
     def fix(words: dict[str, str]):
         def one(word: re.Match) -> str:
@@ -276,34 +311,26 @@ def repaired(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFr
 
         return one
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, parts in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                out += [(i, w) for w in {x.rstrip("!") for p in parts for x in _TOKEN.findall(_clean(p).lower())} if _LETTER.search(w)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.string())], names=["w_id", "word"])
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(i, s, line[:OPENING]) for i, t in enumerate(batch.column(1).to_pylist()) if t and "\n" in t for line, _, s in Page(t).candidates]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=["c_id", "line", "arg"])
+    def clean(text: str | None, words: dict[str, str], extra: set[str]) -> str | None:
+        if text is None:
+            return None
+        whole = "\n".join(Page(text, extra).paragraphs())
+        return _TOKEN.sub(fix(words), whole) if words else whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, headings, texts, extra, own = (c.to_pylist() for c in batch.columns)
-            fixes = [fix(sent if sent is not None else {x["word"]: x["right"] for x in o or ()}) for o in own]
-            clean = lambda t, f, e=(): None if t is None else _TOKEN.sub(f, "\n".join(Page(t, set(e or ())).paragraphs()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(h, f) for h, f in zip(headings, fixes)], pa.string()), pa.array([clean(t, f, e) for t, f, e in zip(texts, fixes, extra)], pa.string())], names=["chunk_id", "heading", "text"])
-
-    lines = chunks.select("chunk_id", "text").mapInArrow(candidates, "c_id string, line string, arg string").distinct()
-    headers = lines.join(openings(documents, acts), F.col("arg") == F.col("opening"), "left_semi").groupBy("c_id").agg(F.collect_set("line").alias("extra"))
-    rows = chunks.select("chunk_id", "heading", "text").dropDuplicates(["chunk_id"]).join(headers, F.col("chunk_id") == F.col("c_id"), "left")
-    if sent is None:  # too many corrections to send: each chunk gets its own by a join
-        found = chunks.select("chunk_id", "text", "heading").mapInArrow(words_of, "w_id string, word string").distinct().join(wrong, "word")
-        rows = rows.join(found.groupBy("w_id").agg(F.collect_list(F.struct("word", "right")).alias("own")), F.col("chunk_id") == F.col("w_id"), "left")
-    else:
-        rows = rows.withColumn("own", F.lit(None).cast("array<struct<word:string,right:string>>"))
-    return rows.select("chunk_id", "heading", "text", "extra", "own").mapInArrow(run, "chunk_id string, heading string, text string")
+            ids, headings, texts, extra, own = (c.to_pylist() for c in batch.columns)
+            words = [{x["word"]: x["right"] for x in o or ()} for o in own]
+            lines = [set(e or ()) for e in extra]
+            fixed = [[clean(t, w, e) for t, w, e in zip(part, words, some)] for part, some in ((headings, [set()] * len(ids)), (texts, lines))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f, pa.string()) for f in fixed]], names=["chunk_id", "heading", "text"])
+
+    rows = _marks(chunks, wrong)
+    lines = rows.filter(F.col("kind").isin("?header", "?numbered"))
+    headers = running_headers(lines, documents, acts).groupBy("chunk_id").agg(F.collect_set("line").alias("extra"))
+    found = rows.filter("kind = '?word'").join(wrong, F.col("arg") == F.col("word")).groupBy("chunk_id").agg(F.collect_list(F.struct("word", "right")).alias("own"))  # of one chunk
+    every = chunks.select("chunk_id", "heading", "text").dropDuplicates(["chunk_id"]).join(headers, "chunk_id", "left").join(found, "chunk_id", "left")
+    return every.select("chunk_id", "heading", "text", "extra", "own").mapInArrow(run, "chunk_id string, heading string, text string")
 
 
 def p7_found(spark, root: str) -> DataFrame:

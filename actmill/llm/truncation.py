@@ -1,13 +1,16 @@
 """Text cut off by field limits (problem 4).
 
-A text that ends without a sign of its end is unfinished, and this rule gives the rows; the shapes of last lines tell
-whether the line is a table line or signature, which recur over the corpus, or the start of a sentence.  The trie of the
-corpus vocabulary tells whether the last token is an unknown proper prefix of known words (cut inside a word), and lengths
-whether the text stops at a field limit, a length at which the corpus has far more unfinished texts than finished ones;
-both tell the place of a cut, and decide only where the shape of the last line recurs.  Alone they cannot give the rows:
-a cut between words leaves a known word, and finished texts end in unknown prefixes and at field limits too.  Page marks after the text are taken off first, and so is a last line that repeats the opening of a title.
-
-The trie is a table of prefixes with the words below each; only the prefixes that some last token asks for are kept.
+The vocabulary is a trie: the tokens of all texts, figures alike, each continued by a blank where more text follows.  The
+last token of a text is an unknown proper prefix when the trie goes on below it, with longer tokens or with further text, and
+hardly knows it as an end: other texts end with it no more often than cuts that fall anywhere would make them.  Such a text
+is cut; so is one that stops at a field limit, a length at which the corpus has far more unfinished texts than finished ones.
+
+Complete forms are left out before: a text that closes with the end of a sentence, a closed bracket or a list item, and a last
+line on its own whose shape recurs over different texts (table lines, signatures), unless that line's last token is a piece of
+a word, which only cuts make.  Page marks after the text are taken off first, and so is a last line that repeats the opening
+of a title.
+
+The trie is a table of prefixes with the weight below each; only the prefixes that some last token asks for are kept.
 All counts run over the whole corpus, and thresholds are shares, so that they mean the same at every size.
 
 Defined results: null and empty texts are not cut; repeated rows count once; documents without a source count under
@@ -23,17 +26,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actmill.llm.lines import BARE, ending, noise_of, split_header
-from actmill.llm.scans import OPENING, openings
+from actmill.llm.lines import BARE, ending, noise_of, split_header, without_mark
+from actmill.llm.scans import LEAST_START, running_headers
 from actmill.llm.words import word_counts
 from actmill.session import cut, table
 
+#: Characters of a title that a last line must repeat at least.
+LEAST_TITLE = 8
 #: A shape of last lines recurs when it makes up this share of all different texts.
 RECURRING = 0.0005
 #: A length is a field limit when so many times more of its texts are unfinished than over all lengths.
 LIMIT_LIFT = 5.0
-WORD = r"[^\W\d_]+"
-_ENDS = "state string, shape string, token string, state2 string, shape2 string, token2 string, last string, length int"
+#: A token is known as an end when it ends other texts so many times more often than a cut falls on a token anywhere, and at least so many texts.
+END_LIFT, LEAST_ENDS = 8.0, 2
+_FIELDS = ("state", "shape", "token", "word")
+_ENDS = ", ".join(f"{f} string" for n in ("", "2") for f in (f"{x}{n}" for x in _FIELDS)) + ", last string, length int"
+_FIGURES = str.maketrans("123456789", "000000000")
+
+
+def node_of(token: str) -> str:
+    """The trie's form of a token."""
+    return token.lower().translate(_FIGURES)
+
+
+def _unmarked(text: str) -> str:
+    return without_mark(text.rstrip()).translate(_FIGURES)
 
 
 def _strip_noise(text: str) -> str:
@@ -51,74 +68,93 @@ def _strip_noise(text: str) -> str:
 def endings(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys``, how each text ends, and how it would end without its last line."""
 
+    def how(text: str) -> tuple[str, str, str, str]:
+        found = ending(text)
+        return (*found, node_of(found[2]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 if not t or t.isspace():
-                    rows.append(("empty", "", "", "empty", "", "", "", 0))
+                    rows.append(("empty", "", "", "", "empty", "", "", "", "", 0))
                     continue
                 s = _strip_noise(t)
-                first = ending(s)
+                first = how(s)
                 if first[0] in ("open", "line") and "\n" in s:
                     rest, _, last = s.rpartition("\n")
-                    rows.append((*first, *ending(_strip_noise(rest)), split_header(last.strip())[0].lower(), len(t)))
+                    rows.append((*first, *how(_strip_noise(rest)), split_header(last.strip())[0].lower(), len(t)))
                 else:
                     rows.append((*first, *first, "", len(t)))
-            columns = list(zip(*rows)) if rows else [()] * 8
-            kinds = [pa.string()] * 7 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[*keys, "state", "shape", "token", "state2", "shape2", "token2", "last", "length"])
+            columns = list(zip(*rows)) if rows else [()] * 10
+            kinds = [pa.string()] * 9 + [pa.int32()]
+            names = [*keys, *_FIELDS, *[f"{f}2" for f in _FIELDS], "last", "length"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=names)
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, text).mapInArrow(run, f"{fields}, {_ENDS}")
 
 
 def trie_nodes(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
-    """``token, known, below``: of each asked token, its count as a word and the count of longer words that start with it."""
-    prefixes = vocabulary.filter(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("token"), "word", "n")
-    asked = asked.select("token").distinct()
-    return (
-        prefixes.join(asked, "token", "left_semi").groupBy("token")
-        .agg(F.sum(F.when(F.col("word") == F.col("token"), F.col("n")).otherwise(0)).alias("known"), F.sum(F.when(F.col("word") != F.col("token"), F.col("n")).otherwise(0)).alias("below"))
-    )
+    """``word, known, below``: of each asked token, its count as a token and the count of longer tokens that start with it."""
+    asked = asked.select("word").distinct()
+    lengths = F.sequence(F.lit(1), F.length("word"))
+    prefixes = vocabulary.filter("word <> ''").select(F.explode(F.transform(lengths, lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("p"), "word", "n")
+    same = F.col("p") == F.col("word")
+    nodes = prefixes.groupBy("p").agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("known"), F.sum(F.when(same, 0).otherwise(F.col("n"))).alias("below"))
+    return nodes.withColumnRenamed("p", "word").join(asked, "word", "left_semi")
 
 
-def truncated(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
-    """``chunk_id, source, cut, place``: every chunk, whether its text breaks off, and where (word, number, sentence)."""
+def _texts(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
+    """``chunk_id, source, text_id, length, copies, state, shape, token, word`` of every chunk, title lines at the end taken off."""
     rows = endings(chunks.select("chunk_id", "doc_id", F.xxhash64("text").alias("text_id"), "text"), ["chunk_id", "doc_id", "text_id"], "text")
     rows = rows.groupBy("chunk_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "chunk_id"])).alias("r"), F.count(F.lit(1)).alias("copies")).select("chunk_id", "r.*", "copies")
     docs = documents.select("doc_id", "source", F.lower("title").alias("title")).dropDuplicates(["doc_id"])
-    rows = rows.join(docs, "doc_id", "left")
-    starts = openings(documents, acts).select("opening", F.lit(True).alias("opens"))
-    rows = rows.join(starts, (F.substring("last", 1, OPENING) == F.col("opening")) & (F.length("last") >= OPENING), "left")
-    titled = F.coalesce(F.col("opens"), F.lit(False)) | (F.length("last") >= 8) & F.coalesce(F.contains("title", F.col("last")), F.lit(False))
-    rows = rows.select("chunk_id", "source", "text_id", "length", "copies", *[F.when(titled, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("state", "shape", "token")])
-    # The evidence below reads these few columns many times, the texts only once.
-    rows = cut(rows.withColumn("word", F.lower(F.regexp_extract("token", r"(?U)([\p{L}\p{M}]+)\P{L}*$", 1))))
+    # The evidence reads these few columns many times, the texts only once.
+    rows = cut(rows.join(docs, "doc_id", "left"))
+    keep = ["chunk_id", "source", "text_id", "length", "copies"]
+    lined = rows.filter(F.length("last") >= LEAST_TITLE)  # other last lines are no key
+    headers = running_headers(lined.filter(F.length("last") >= LEAST_START).select("doc_id", "chunk_id", F.col("last").alias("arg")), documents, acts)
+    titled = F.col("opens").isNotNull() | F.coalesce(F.contains("title", F.col("last")), F.lit(False))
+    opens = headers.select("chunk_id", F.lit(True).alias("opens"))
+    taken = lined.join(opens, "chunk_id", "left").select(*keep, *[F.when(titled, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in _FIELDS])
+    return rows.filter(F.length("last") < LEAST_TITLE).select(*keep, *_FIELDS).unionByName(taken)
 
+
+def truncated(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:
+    """``chunk_id, source, cut, place, at_limit``: every chunk, whether its text breaks off, and where (word, number, sentence)."""
+    rows = cut(_texts(chunks, documents, acts))
     unfinished = rows.filter(F.col("state").isin("open", "line", "cut"))
-    totals = rows.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("state") == "open").cast("long")).alias("open"))
+    open_ = F.count_if(F.col("state") == "open")
+    totals = rows.agg(F.count(F.lit(1)).alias("all"), open_.alias("open"), F.countDistinct("text_id").alias("texts"))  # one row, as those below
     # Shapes recur over different texts; copies of one text are no evidence.
-    different = rows.select("text_id").distinct().agg(F.count(F.lit(1)).alias("texts"))
-    shapes = rows.filter("state = 'line'").select("shape", "text_id").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("n")).crossJoin(different)  # different: one row
+    shapes = rows.filter("state = 'line'").groupBy("shape").agg(F.countDistinct("text_id").alias("n")).crossJoin(totals)
     recurring = shapes.filter((F.col("n") >= 2) & (F.col("n") >= RECURRING * F.col("texts")) & F.col("shape").contains(" ")).select("shape", F.lit(True).alias("recurs"))
-    by_length = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("state") == "open").cast("long")).alias("o")).crossJoin(totals)
+    by_length = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"), open_.alias("o")).crossJoin(totals)
     limits = by_length.filter((F.col("o") > 1) & (F.col("o") / F.col("n") > LIMIT_LIFT * F.col("open") / F.col("all"))).select("length", F.lit(True).alias("limit"))
 
-    vocabulary = word_counts(chunks.select("text"), WORD, lower=True)
-    nodes = trie_nodes(vocabulary, unfinished.filter("word <> ''").select(F.col("word").alias("token"))).withColumnRenamed("token", "word")
-    d = rows.join(recurring, "shape", "left").join(limits, "length", "left").join(nodes, "word", "left")
-    # The vocabulary counts the cut token itself, once per row that ends with it.
-    own = unfinished.filter("word <> ''").groupBy("word").agg(F.sum("copies").alias("own"))
-    d = d.join(own, "word", "left")
-    prefix = (F.coalesce("known", F.lit(0)) <= F.coalesce("own", F.lit(0))) & (F.coalesce("below", F.lit(0)) > 0)
+    vocabulary = word_counts(chunks.select("text"), r"\S+", lower=True, clean=_unmarked)
+    nodes = trie_nodes(vocabulary, unfinished)
+    lines = unfinished.filter("state = 'line'").join(recurring, "shape", "left").withColumn("recurs", F.col("recurs").isNotNull())
+    d = unfinished.filter("state <> 'line'").withColumn("recurs", F.lit(False)).unionByName(lines)
+    # Lines that recur are complete forms, and no ends of running text.
+    ends = d.groupBy("word").agg(F.countDistinct(F.when(~F.col("recurs"), F.col("text_id"))).alias("ends"), F.sum("copies").alias("end_rows"))
+    # How often a cut falls on a token: unfinished texts in running text, for each token of the corpus.
+    rate = vocabulary.agg(F.sum("n").alias("tokens")).crossJoin(totals).select((F.col("open") / F.col("tokens")).alias("rate"))
+    evidence = nodes.join(ends, "word").crossJoin(rate)
+    on = F.col("known") - F.col("end_rows") + F.col("below")  # what the trie has below the token
+    others = F.col("ends") - 1
+    is_end = (others >= LEAST_ENDS) & (others > END_LIFT * F.col("rate") * (on + others))
+    evidence = evidence.select("word", (~is_end & (on > 0)).alias("prefix"), ((F.col("known") <= F.col("end_rows")) & (F.col("below") > 0)).alias("piece"))
+
+    d = d.join(evidence, "word", "left").join(limits, "length", "left").withColumn("at_limit", F.coalesce("limit", F.lit(False)))
+    prefix, piece = F.coalesce("prefix", F.lit(False)), F.coalesce("piece", F.lit(False))
     lower = F.col("token").rlike(r"(?U)^\p{Ll}")
-    broken = (
-        F.col("state").isin("open", "cut")
-        | ((F.col("state") == "line") & (F.col("recurs").isNull() | (prefix & lower) | (F.coalesce("limit", F.lit(False)) & prefix)))
-    )
-    place = F.when(F.col("token").rlike(r"\d$"), "number").when(prefix, "word").otherwise("sentence")
-    return d.select("chunk_id", "source", broken.alias("cut"), F.when(broken, place).alias("place"), F.coalesce("limit", F.lit(False)).alias("at_limit"))
+    broken = F.when(F.col("recurs"), piece & (lower | F.col("at_limit"))).otherwise(prefix | F.col("at_limit"))
+    place = F.when(F.col("token").rlike(r"\d$"), "number").when(piece, "word").otherwise("sentence")
+    judged = d.select("chunk_id", "source", broken.alias("cut"), F.when(broken, place).alias("place"), "at_limit")
+    whole = rows.filter(~F.col("state").isin("open", "line", "cut")).select("chunk_id", "source", F.lit(False).alias("cut"), F.lit(None).cast("string").alias("place"), F.lit(False).alias("at_limit"))
+    return judged.unionByName(whole)
 
 
 def _found(spark, root: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from actmill.llm import scans as sc
@@ -30,10 +31,23 @@ def test_kinds_of_noise(spark):
     assert got == {("m", "misread"), ("h", "hyphen"), ("g", "hyphen"), ("g", "page_no"), ("t", "header"), ("s", "header"), ("s", "page_no"), ("p", "page_no"), ("k", "hyphen")}
 
 
-def test_the_joined_path_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(sc, "SENT", 0)
-    assert ("m", "misread") in {tuple(r) for r in sc.noise(*tables(spark, ROWS)).collect()}
-    assert "tatimin dhe kodit" in {r.chunk_id: r.text for r in sc.repaired(*tables(spark, ROWS)).collect()}["m"]
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    want = {tuple(r) for r in sc.noise(*tables(spark, ROWS)).collect()}
+    monkeypatch.setattr(sc, "_bitmap", lambda words: np.full(4096, 255, np.uint8))
+    assert {tuple(r) for r in sc.noise(*tables(spark, ROWS)).collect()} == want and ("m", "misread") in want
+
+
+def test_long_words_other_alphabets_and_many_confusions(spark):
+    rare, right = "rnagaziriirn" + "e" * 60 + "rn", "magazinim" + "e" * 60 + "m"
+    words = [(right, 500, 500), (rare, 1, 1), ("налог", 300, 300), ("на1ог", 1, 1), ("a1s1an¢l11sc11e", 1, 1), ("aislandlische", 400, 400), ("lire", 2, 2), ("me", 900, 900)]
+    got = {r.word: r.right for r in sc.misread(spark.createDataFrame(words, "word string, n long, n_rows long")).collect()}
+    assert got == {rare: right, "a1s1an¢l11sc11e": "aislandlische", "на1ог": None}
+
+
+def test_headers_that_recur_in_a_document(spark):
+    line = "Fletorja e njoftimeve të degës qendrore"
+    rows = [(f"{d}:article:{i}", d, f"drejtoria shqyrton {i}\n{line}\ntatimin sipas kodit {i}.", None) for d, n in ((1, 3), (2, 1)) for i in range(n)]
+    assert {tuple(r) for r in sc.noise(*tables(spark, rows)).collect()} == {(f"1:article:{i}", "header") for i in range(3)}
 
 
 def test_repair(spark):
