@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actmill.llm.words import likely
 from actmill.session import cut, table
 
 #: Rows of a band and number of bands, for long texts and for short ones that share most of their words anyway.
@@ -42,8 +43,6 @@ UNIVERSE = 1 << 20
 SKETCH, DEVIATIONS = 256, 3.1
 #: Members up to which a class of copies is written out in pairs.
 EXPANDED = 20
-#: Bits of the bitmap of candidates.
-BITMAP = 1 << 24
 #: Band keys that one part of the key space should hold; a part is sorted in one task.
 PART = 4_000_000
 #: Texts per batch of the signature, and pairs per block that leaves a part.
@@ -254,15 +253,6 @@ def _verify(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _maybe(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """``texts`` without most of those whose id is not in ``needed``, by a bitmap of BITMAP bits, which is all that is broadcast."""
-    place = F.pmod(F.col("id"), F.lit(BITMAP))
-    bits = needed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return texts.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket")).filter(F.getbit(byte, at % 8) == 1).select(*texts.columns)
-
-
 def similar_texts(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG, parts: int | None = None) -> DataFrame:
     """``a, b, similarity``: different texts, by the hash of each, whose distinct shingles have at least ``threshold`` in common."""
     texts = items.filter("text is not null").select(_key(F.col("text")).alias("id"), "text")
@@ -277,7 +267,7 @@ def similar_texts(items: DataFrame, shingle: int, threshold: float, shape: tuple
     most = expected + DEVIATIONS * (SKETCH * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5
     likely = cut(pairs.join(a, "a").join(b, "b").filter(differ <= most).select("a", "b"))
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    stored = _maybe(texts, needed).join(needed, "id", "left_semi").dropDuplicates(["id"])
+    stored = likely(texts, F.col("id"), needed).join(needed, "id", "left_semi").dropDuplicates(["id"])
     full = likely.join(stored.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(stored.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return _verify(full, shingle, threshold)
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actmill.llm.lines import BARE, noise_of, split_header
-from actmill.llm.words import weighted_counts
+from actmill.llm.words import BITMAP, likely, weighted_counts
 from actmill.session import cut, table
 
 #: Signs read in place of letters, and the letters.
@@ -48,8 +48,8 @@ SIGNS = "0-9|!†€¢"
 RATIO_LETTERS, RATIO_SIGNS = 20, 1
 #: Confusions per word that are looked for by differences of hashes; words with more are joined by their strokes.
 DEEP = 3
-#: Bits of a character's hash, so that sums stay within 64, and bits of the bitmap of misread words.
-HASH_MASK, BITMAP = (1 << 40) - 1, 1 << 24
+#: Bits of a character's hash, so that sums stay within 64.
+HASH_MASK = (1 << 40) - 1
 #: Chunks of a document in which a line recurs that is a running header; overlapping windows share a line in two.
 RECURRING = 2
 #: Characters of a title that a header line must repeat at least; it must be the start of the title as a whole.
@@ -293,7 +293,9 @@ def title_starts(documents: DataFrame, acts: DataFrame, asked: DataFrame) -> Dat
     starts = titles.select(F.explode(both).alias("s")).filter(F.length("s") >= LEAST_START).distinct()
     lengths = F.sequence(F.lit(LEAST_START), F.length("s"))
     every = starts.select(F.explode(F.transform(lengths, lambda i: F.substring(F.col("s"), F.lit(1), i))).alias("start"))
-    return asked.select(F.col(asked.columns[0]).alias("start")).distinct().join(every, "start", "left_semi")
+    asked = cut(asked.select(F.col(asked.columns[0]).alias("start")).distinct())
+    every = likely(every, F.xxhash64("start"), asked.select(F.xxhash64("start").alias("k")))
+    return asked.join(every, "start", "left_semi")
 
 
 def repaired(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataFrame:

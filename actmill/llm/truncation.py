@@ -133,7 +133,7 @@ def truncated(chunks: DataFrame, documents: DataFrame, acts: DataFrame) -> DataF
     by_length = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"), open_.alias("o")).crossJoin(totals)
     limits = by_length.filter((F.col("o") > 1) & (F.col("o") / F.col("n") > LIMIT_LIFT * F.col("open") / F.col("all"))).select("length", F.lit(True).alias("limit"))
 
-    vocabulary = word_counts(chunks.select("text"), r"\S+", lower=True, clean=_unmarked)
+    vocabulary = cut(word_counts(chunks.select("text"), r"\S+", lower=True, clean=_unmarked))
     nodes = trie_nodes(vocabulary, unfinished)
     lines = unfinished.filter("state = 'line'").join(recurring, "shape", "left").withColumn("recurs", F.col("recurs").isNotNull())
     d = unfinished.filter("state <> 'line'").withColumn("recurs", F.lit(False)).unionByName(lines)

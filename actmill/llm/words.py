@@ -7,9 +7,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of the bitmap of ``likely``.
+BITMAP = 1 << 24
 #: Distinct words a task holds before it hands its partial counts on; only memory depends on it.
 HELD = 300_000
 
@@ -75,3 +77,16 @@ def weighted_counts(df: DataFrame, pattern: str, lower: bool = False, keep: str
         yield out()
 
     return df.mapInArrow(run, "word string, n long, n_rows long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
+
+
+def likely(rows: DataFrame, key: Column, needed: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a long, is not among the longs of ``needed``.
+
+    A bitmap of BITMAP bits, of that size whatever the number of rows, is all that is sent; a join with ``needed`` must follow.
+    """
+    place = F.pmod(F.col(needed.columns[0]), F.lit(BITMAP)) + 1  # positions count from 1
+    bits = needed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    at = F.pmod(key, F.lit(BITMAP)) + 1
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col("__bucket")).filter(F.getbit(byte, bit % 8) == 1).select(*rows.columns)
