@@ -7,7 +7,7 @@ pattern of capitals beside the collation key.  The canonical member of a class i
 ordinary characters, ties by code points; a class that has none gets its mapped, composed form.  Words are joined back to
 the texts by their stored form.
 
-A word is a case when it differs from its canonical member.  A word wholly in another alphabet keeps its letters, unless
+A word is a case when it differs from its canonical member, or mixes Latin letters with others that resemble none.  A word wholly in another alphabet keeps its letters, unless
 all of them look like Latin ones and the mapped word is in use in Latin letters.
 
 Defined results: null and empty texts are no cases and stay as they are; repeated rows count once; line breaks, typographic
@@ -43,7 +43,7 @@ ODD = (
     r"\u2460-\u24ff\u2c60-\u2c7f\u3000\u3164\u3300-\u33ff\uf900-\ufaff\ufb00-\ufb4f\ufe00-\ufe0f\ufe20-\ufe2f\ufe30-\ufe6f\ufeff\uff00-\uffef\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff\U000e0000-\U000e01ef]"
 )
 _INVISIBLE = r"[\p{Cf}\x{034f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{3164}\x{fe00}-\x{fe0f}\x{ffa0}]"
-_LATIN_LETTER, _OTHER_LETTER = r"[\p{IsLatin}]", r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"
+_LATIN_LETTER, _OTHER_LETTER = r"\p{IsLatin}", r"[\p{L}&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]"
 
 
 #: The same class for Java, which writes code points beyond four digits otherwise.
@@ -61,7 +61,7 @@ def mapped(word: Column) -> Column:
 def capitals(word: Column) -> Column:
     """Pattern of capitals: runs of small letters and runs of capitals."""
     small = F.regexp_replace(F.regexp_replace(word, r"[\p{M}]", ""), r"(?U)[\p{Ll}\p{Lo}\p{Lm}]+", "l")
-    return F.regexp_replace(small, r"\p{Lu}+", "U").substr(F.lit(1), F.lit(40))
+    return F.regexp_replace(small, r"\p{Lu}+", "U")
 
 
 @F.pandas_udf(StringType())
@@ -76,7 +76,10 @@ def composed(words: pd.Series) -> pd.Series:
 
 
 def classes(vocabulary: DataFrame) -> DataFrame:
-    """``word, canonical`` of every word with an odd character; ``vocabulary`` has ``word, n``."""
+    """``word, canonical, mixed`` of every word with an odd character; ``mixed``: letters of two alphabets that no look-alike explains.
+
+    ``vocabulary`` has ``word, n``.
+    """
     v = vocabulary.withColumn("odd", F.col("word").rlike(ODD_SQL)).withColumn("mapped", F.when(F.col("odd"), mapped(F.col("word"))).otherwise(F.col("word")))
     v = v.withColumn("pattern", capitals(F.col("mapped"))).withColumn("key", F.collate(F.col("mapped"), COLLATION))
     plain = F.when(~F.col("odd"), F.struct("n", F.col("word").alias("w")))
@@ -88,11 +91,12 @@ def classes(vocabulary: DataFrame) -> DataFrame:
     foreign = ~F.col("word").rlike(_LATIN_LETTER) & F.col("word").rlike(_OTHER_LETTER) & ~F.col("word").rlike(r"\d")
     own = F.regexp_replace(F.col("word"), _INVISIBLE, "")
     canonical = F.when(foreign & F.col("best").isNull(), composed(own)).otherwise(F.coalesce("best", composed(F.col("mapped"))))
-    return rows.select("word", canonical.alias("canonical"))
+    mixed = F.col("mapped").rlike(_LATIN_LETTER) & F.col("mapped").rlike(_OTHER_LETTER)
+    return rows.select("word", canonical.alias("canonical"), mixed.alias("mixed"))
 
 
 def disguised(vocabulary: DataFrame) -> DataFrame:
-    return classes(vocabulary).filter("word <> canonical")
+    return classes(vocabulary).filter("word <> canonical or mixed")
 
 
 def _items(spark, root: str) -> DataFrame:
@@ -116,7 +120,7 @@ def p3_text(spark, root: str) -> DataFrame:
     """Every text in its consistent form, with the number of words that were put right."""
     items = _items(spark, root).dropDuplicates(["item_kind", "row_key"])
     found = disguised(word_counts(items.select("text"), WORD, keep=rf"[^\W\d_]|{ODD}"))
-    by_text = _words(items).join(found, "word").groupBy("item_kind", "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "canonical"))).alias("right"))
+    by_text = _words(items).join(found.filter("word <> canonical"), "word").groupBy("item_kind", "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "canonical"))).alias("right"))
     parts = F.regexp_extract_all("text", F.lit(rf"([^{CUTS}]+|[{CUTS}]+)"), 1)
     fixed = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("right", p), p)), "")
     df = items.join(by_text, ["item_kind", "row_key"], "left")

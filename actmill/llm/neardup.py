@@ -13,10 +13,17 @@ At similarity s a pair is a candidate with probability 1 - (1 - s**rows)**bands:
 at 0.6 and 0.99997 at 0.7, with 96 bands of 12 rows 0.9989 at 0.8; the sketch keeps all but 1 in 1000 of the pairs at the
 threshold.  Before the texts of candidates are joined, a bitmap of fixed size drops the texts that cannot be one.
 
+Where no pair may be missed, ``exact=True`` takes the candidates from the rarest features instead: two texts that reach the
+threshold share one of the first ``n - ceil(threshold * n) + 1`` of each.  That is exact and shuffles every feature.
+
+A band that very many different texts share leaves its part as blocks of ids, which other tasks pair.
+
 Defined results: texts that are null or have no feature have no near-duplicates; shorter texts than a shingle have no
-shingle; repeated rows count once.  Copies of one text are near-duplicates of each other; a class of up to ``EXPANDED``
-members is written out in pairs, a larger one as pairs of its smallest key with every other member, and only its smallest
-key is paired with other texts.  Empty tables give no rows.
+shingle; repeated rows count once.  Copies of one text are near-duplicates of each other and form a class, named by its
+smallest key.  ``members`` gives each key its class and its number of links, ``links`` the classes that are near-duplicates
+of each other; both hold every link.  ``near_duplicates`` writes them out in pairs of keys: a class of up to ``EXPANDED``
+members in all pairs, with each other and with other texts; a larger one as pairs of its smallest key with every other member,
+and a link of it to another text as pairs of every member with the smallest key of the other.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +48,10 @@ COORDINATES = max(r * b for r, b in (LONG, SHORT))
 UNIVERSE = 1 << 20
 #: Coordinates whose lowest bit makes the sketch, and how many deviations below its expected agreement a pair may fall.
 SKETCH, DEVIATIONS = 256, 3.1
-#: Members up to which a class of copies is written out in pairs.
+#: Members up to which a class of copies is written out in pairs; larger ones are given by members and links.
 EXPANDED = 20
+#: Texts of a band up to which its part pairs them at once, and ids of a block of larger bands.
+GROUP, IDS = 64, 1000
 #: Band keys that one part of the key space should hold; a part is sorted in one task.
 PART = 4_000_000
 #: Texts per batch of the signature, and pairs per block that leaves a part.
@@ -155,7 +164,7 @@ def _bands(texts: DataFrame, shingle: int, rows: int, bands: int, parts: int) ->
 
 
 def _candidates(bands: DataFrame) -> DataFrame:
-    """``a, b`` with a < b: pairs of different texts that share a band key; a pair may come several times."""
+    """``a, b`` with a < b: pairs of different texts that share a band key, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, who = [], []
@@ -175,39 +184,69 @@ def _candidates(bands: DataFrame) -> DataFrame:
         size = np.diff(edge)
         left, right, held = [], [], 0
 
-        def block() -> pa.RecordBatch:
-            a, b = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        def rows(cross: bool, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([cross] * len(pairs)), *[pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1)]], names=["across", "xs", "ys"])
 
         for n in np.unique(size[size > 1]).tolist():  # groups of one size at once
             starts = edge[:-1][size == n]
-            if n <= 64:
+            if n <= GROUP:
                 group = ids[starts[:, None] + np.arange(n)]
                 for i in range(n - 1):
                     a = np.repeat(group[:, i], n - 1 - i)
                     b = group[:, i + 1 :].ravel()
-                    keep = a != b
-                    left.append(a[keep])
-                    right.append(b[keep])
-                    held += int(keep.sum())
+                    left.append(np.minimum(a, b))
+                    right.append(np.maximum(a, b))
+                    held += len(a)
                     if held > BLOCK:
-                        yield block()
+                        yield rows(False, [_unique(left, right)])
                         left, right, held = [], [], 0
             else:
                 for s in starts.tolist():
                     group = np.unique(ids[s : s + n])
-                    for i in range(len(group) - 1):
-                        left.append(np.full(len(group) - 1 - i, group[i]))
-                        right.append(group[i + 1 :])
-                        held += len(group) - 1 - i
-                        if held > BLOCK:
-                            yield block()
-                            left, right, held = [], [], 0
+                    blocks = [group[i : i + IDS] for i in range(0, len(group), IDS)]
+                    for i, x in enumerate(blocks):
+                        yield rows(True, [(x, y) for y in blocks[i:]])
         if left:
-            yield block()
+            yield rows(False, [_unique(left, right)])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cross, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
+                if cross:
+                    a, b = np.repeat(a, len(b)), np.tile(b, len(a))
+                    a, b = a[a < b], b[a < b]  # blocks are in order
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    blocks = bands.groupBy("part").applyInArrow(run, "across boolean, xs binary, ys binary")
+    return blocks.repartition(F.xxhash64("xs", "ys")).mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _unique(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different texts, once each."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+def _exact_candidates(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """``a, b`` with a < b: pairs of different texts that share one of their rarest features and are long enough, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, counts = features(batch.column(1).to_pylist(), shingle)
+            parts = [np.unique(h) for h in np.split(hashes.astype(np.int64), np.cumsum(counts)[:-1])] if len(counts) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int64()))], names=["id", "fs"])
 
-    return bands.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+    sets = cut(texts.mapInArrow(run, "id long, fs array<long>").dropDuplicates(["id"]))
+    flat = sets.select("id", F.size("fs").alias("n"), F.explode("fs").alias("f"))
+    rarity = flat.groupBy("f").agg(F.count(F.lit(1)).alias("df"))
+    ordered = flat.join(rarity, "f").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "f"))).alias("o"))  # features of one text
+    first = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    posted = cut(ordered.select("id", "n", F.explode(first).alias("o")).filter("o.df > 1").select("id", "n", F.col("o.f").alias("f")))
+    x, y = posted.select(F.col("id").alias("a"), F.col("n").alias("na"), "f"), posted.select(F.col("id").alias("b"), F.col("n").alias("nb"), "f")
+    long_enough = (F.col("nb") >= threshold * F.col("na") - 1e-9) & (F.col("na") >= threshold * F.col("nb") - 1e-9)
+    return x.join(y, "f").filter((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
 
 
 def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
@@ -253,40 +292,73 @@ def _verify(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_texts(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG, parts: int | None = None) -> DataFrame:
+def similar_texts(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG, parts: int | None = None, exact: bool = False) -> DataFrame:
     """``a, b, similarity``: different texts, by the hash of each, whose distinct shingles have at least ``threshold`` in common."""
     texts = items.filter("text is not null").select(_key(F.col("text")).alias("id"), "text")
-    parts = parts or max(4, -(-texts.count() * shape[1] // PART))
-    pairs = _candidates(_bands(texts, shingle, *shape, parts))
-    sketch = _sketches(texts, shingle).dropDuplicates(["id"])
-    names = [f"s{j}" for j in range(SKETCH // 64)]
-    a = sketch.select(F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in names])
-    b = sketch.select(F.col("id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in names])
-    differ = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in names)
-    expected = SKETCH * (1 - threshold) / 2
-    most = expected + DEVIATIONS * (SKETCH * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5
-    likely = cut(pairs.join(a, "a").join(b, "b").filter(differ <= most).select("a", "b"))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if exact:
+        maybe = cut(_exact_candidates(texts, shingle, threshold))
+    else:
+        parts = parts or max(4, -(-texts.count() * shape[1] // PART))
+        pairs = _candidates(_bands(texts, shingle, *shape, parts))
+        sketch = _sketches(texts, shingle).dropDuplicates(["id"])
+        names = [f"s{j}" for j in range(SKETCH // 64)]
+        a = sketch.select(F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in names])
+        b = sketch.select(F.col("id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in names])
+        differ = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in names)
+        expected = SKETCH * (1 - threshold) / 2
+        most = expected + DEVIATIONS * (SKETCH * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5
+        maybe = cut(pairs.join(a, "a").join(b, "b").filter(differ <= most).select("a", "b"))
+    needed = maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     stored = likely(texts, F.col("id"), needed).join(needed, "id", "left_semi").dropDuplicates(["id"])
-    full = likely.join(stored.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(stored.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    full = maybe.join(stored.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(stored.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return _verify(full, shingle, threshold)
 
 
-def near_duplicates(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG) -> DataFrame:
+class Classes:
+    """Classes of copies and the links between them, of ``key, text``."""
+
+    def __init__(self, items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG, exact: bool = False) -> None:
+        rows = items.filter("text is not null").select("key", "text").filter(F.col("text").rlike(rf"(?U)\w+(?:\W+\w+){{{shingle - 1}}}"))
+        self.keys = rows.select(_key(F.col("text")).alias("id"), "key").distinct()
+        self.heads = self.keys.groupBy("id").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n"))
+        self.found = cut(similar_texts(rows, shingle, threshold, shape, exact=exact))
+
+    def links(self) -> DataFrame:
+        """``class_a, class_b, similarity``: near-duplicate classes, the smaller name first."""
+        h = self.heads.select("id", "head")
+        d = self.found.join(h.select(F.col("id").alias("a"), F.col("head").alias("x")), "a").join(h.select(F.col("id").alias("b"), F.col("head").alias("y")), "b")
+        return d.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "similarity")
+
+    def members(self) -> DataFrame:
+        """``key, class_id, n_copies, n_links``: every text that has a feature, and how many keys are near-duplicates of it."""
+        both = self.found.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("l")).select("l.*")
+        sizes = self.heads.select(F.col("id").alias("other"), F.col("n").alias("more"))
+        further = both.join(sizes, "other").groupBy("id").agg(F.sum("more").alias("more"))
+        d = self.keys.join(self.heads, "id").join(further, "id", "left")
+        return d.select("key", F.col("head").alias("class_id"), F.col("n").alias("n_copies"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+
+    def pairs(self) -> DataFrame:
+        """``key_a, key_b`` with key_a < key_b; large classes through their smallest keys."""
+        copies = cut(self.keys.join(self.heads.filter("n > 1"), "id"))  # copies only
+        star = copies.filter(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"))
+        small = copies.filter(F.col("n") <= EXPANDED)
+        inner = small.alias("x").join(small.alias("y"), "id").filter(F.col("x.key") < F.col("y.key")).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
+        wanted = self.found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        linked = cut(self.keys.join(wanted, "id", "left_semi").join(self.heads, "id"))
+        few, large = linked.filter((F.col("n") <= EXPANDED) | (F.col("key") == F.col("head"))), linked.filter(F.col("n") > EXPANDED)
+        first = linked.filter(F.col("key") == F.col("head"))
+
+        def across(x: DataFrame, y: DataFrame) -> DataFrame:
+            d = self.found.join(x.select(F.col("id").alias("a"), F.col("key").alias("k1")), "a").join(y.select(F.col("id").alias("b"), F.col("key").alias("k2")), "b")
+            return d.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"))
+
+        every = across(few, few).unionByName(across(large, first)).unionByName(across(first, large))
+        return star.unionByName(inner).unionByName(every).distinct()
+
+
+def near_duplicates(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG, exact: bool = False) -> DataFrame:
     """``key_a, key_b`` with key_a < key_b of the near-duplicates among ``key, text``."""
-    rows = items.filter("text is not null").select("key", "text").filter(F.col("text").rlike(rf"(?U)\w+(?:\W+\w+){{{shingle - 1}}}"))
-    members = rows.select(_key(F.col("text")).alias("id"), "key").distinct()
-    heads = members.groupBy("id").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n"))
-    copies = cut(members.join(heads.filter("n > 1"), "id"))  # copies only
-    star = copies.filter(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"))
-    small = copies.filter(F.col("n") <= EXPANDED)
-    inner = small.alias("x").join(small.alias("y"), "id").filter(F.col("x.key") < F.col("y.key")).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
-    found = cut(similar_texts(rows, shingle, threshold, shape))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    linked = members.join(wanted, "id", "left_semi").join(heads, "id").filter((F.col("n") <= EXPANDED) | (F.col("key") == F.col("head"))).select("id", "key")
-    across = found.join(linked.select(F.col("id").alias("a"), F.col("key").alias("k1")), "a").join(linked.select(F.col("id").alias("b"), F.col("key").alias("k2")), "b")
-    across = across.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"))
-    return star.unionByName(inner).unionByName(across).distinct()
+    return Classes(items, shingle, threshold, shape, exact).pairs()
 
 
 def _sets(spark, root: str):
@@ -295,10 +367,24 @@ def _sets(spark, root: str):
     return (("chunk", chunks, 3, 0.5, LONG), ("act", acts, 1, 0.8, SHORT))
 
 
-def p2_found(spark, root: str) -> DataFrame:
-    parts = [near_duplicates(items, shingle, threshold, shape).select(F.lit(kind).alias("item_kind"), "key_a", "key_b") for kind, items, shingle, threshold, shape in _sets(spark, root)]
+def _each(spark, root: str, part) -> DataFrame:
+    parts = [part(Classes(items, shingle, threshold, shape)).select(F.lit(kind).alias("item_kind"), "*") for kind, items, shingle, threshold, shape in _sets(spark, root)]
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_found(spark, root: str) -> DataFrame:
+    return _each(spark, root, Classes.pairs)
+
+
+def p2_members(spark, root: str) -> DataFrame:
+    """Class of copies and number of links of every chunk and act."""
+    return _each(spark, root, Classes.members)
+
+
+def p2_links(spark, root: str) -> DataFrame:
+    """Pairs of classes that are near-duplicates, with their similarity."""
+    return _each(spark, root, Classes.links)
+
+
+QUERIES = {"p2_found": p2_found, "p2_members": p2_members, "p2_links": p2_links}
 ORACLES: dict[str, str] = {}

@@ -113,8 +113,10 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
 def pack(sizes: DataFrame, kinds: DataFrame, key: str = "doc_id") -> DataFrame:
     """``container_kind, container_no, key, piece_no, n_tokens``: one row per item, or per piece of one longer than the capacity.
 
-    ``sizes`` has ``key`` and ``n_tokens``; ``kinds`` has ``container_kind`` and ``capacity``.  The histogram on the driver
-    and the broadcast plan have at most as many rows as the capacities allow, not as there are items.
+    ``sizes`` has ``key`` and ``n_tokens``; ``kinds`` has ``container_kind`` and ``capacity``.  For a capacity c the histogram
+    on the driver has at most c rows.  A size adds at most three groups of containers to the plan, and a group holds at most
+    sqrt(2c) different sizes, so that the plan has at most 3c * sqrt(2c) rows however many items there are; it is joined by
+    size, and sent whole only where Spark finds it small enough.
     """
     spark = sizes.sparkSession
     kinds = kinds.select("container_kind", "capacity").filter("capacity >= 1").distinct()
@@ -138,7 +140,7 @@ def pack(sizes: DataFrame, kinds: DataFrame, key: str = "doc_id") -> DataFrame:
     offsets = salted.groupBy(*part).count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     ranked = local.join(offsets, part).withColumn("rank", F.col("before") + F.col("r") - 1)
     at = (F.col("container_kind") == F.col("k")) & (F.col("size") == F.col("s")) & F.col("rank").between(F.col("lo"), F.col("hi"))
-    placed = ranked.join(F.broadcast(slots), at, "left")
+    placed = ranked.join(slots, at, "left")
     number = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per")))
     return placed.select("container_kind", number.cast("long").alias("container_no"), key, "piece_no", F.col("size").alias("n_tokens"))
 

@@ -41,3 +41,12 @@ def test_queries_on_small_tables(spark, tmp_path):
     assert {tuple(r) for r in lk.p3_found(spark, str(tmp_path)).collect()} == {("chunk", "1:a:0"), ("question", "q")}
     t = {r.row_key: (r.text, r.n_words) for r in lk.p3_text(spark, str(tmp_path)).collect()}
     assert t["1:a:0"] == ("tatimi paguhet", 1) and t["q"] == ("kur paguhet?", 1) and t["1:a:1"] == (None, 0) and t["1:a:2"] == ("", 0)
+
+
+def test_letters_that_resemble_none_and_long_words(spark):
+    long = "Aa" * 30
+    v = spark.createDataFrame([("tatiмit", 1), ("налог", 5), ("\u13d9ax", 1), ("tatimi", 9), (long + "xyZ", 3), (long + "xy\uff3a", 1), (long + "xyz", 9)], "word string, n long")
+    got = {r.word: (r.canonical, r.mixed) for r in lk.classes(v).collect()}
+    found = {r.word for r in lk.disguised(v).collect()}
+    assert found == {"tatiмit", "\u13d9ax", long + "xy\uff3a"} and got["tatiмit"][1] and got["налог"] == ("налог", False)
+    assert got[long + "xy\uff3a"][0] == long + "xyZ"

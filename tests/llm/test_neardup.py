@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from actmill.llm import neardup as nd
 
@@ -26,13 +27,14 @@ def corpus(seed, n):
     return texts
 
 
-def test_all_pairs_above_the_threshold(spark):
+@pytest.mark.parametrize("exact", [False, True])
+def test_all_pairs_above_the_threshold(spark, exact):
     texts = corpus(1, 60)
     rows = [(f"k{i:03d}", t, "x") for i, t in enumerate(texts)]
-    got = {(r.key_a, r.key_b) for r in nd.near_duplicates(spark.createDataFrame(rows, "key string, text string, id string"), 3, 0.5).collect()}
+    got = {(r.key_a, r.key_b) for r in nd.near_duplicates(spark.createDataFrame(rows, "key string, text string, id string"), 3, 0.5, exact=exact).collect()}
     s = [sets(t, 3) for t in texts]
     want = {(rows[i][0], rows[j][0]) for i in range(len(s)) for j in range(i + 1, len(s)) if len(s[i] & s[j]) >= 0.5 * len(s[i] | s[j])}
-    assert got <= want and len(want - got) <= 0.03 * len(want) and len(want) > 20
+    assert got <= want and len(want - got) <= (0 if exact else 0.03) * len(want) and len(want) > 20
 
 
 def test_copies_nulls_short_texts_and_repeated_rows(spark):
@@ -44,12 +46,26 @@ def test_copies_nulls_short_texts_and_repeated_rows(spark):
     assert nd.near_duplicates(df.limit(0), 3, 0.5).count() == 0
 
 
-def test_large_class_is_a_star(spark, monkeypatch):
-    monkeypatch.setattr(nd, "EXPANDED", 3)
+def test_large_classes_keep_all_links(spark):
     t = "një dy tre katër pesë gjashtë shtatë tetë"
-    df = spark.createDataFrame([(f"k{i}", t) for i in range(6)] + [("z", t + " nëntë")], "key string, text string")
-    got = sorted((r.key_a, r.key_b) for r in nd.near_duplicates(df, 3, 0.5).collect())
-    assert got == [("k0", f"k{i}") for i in range(1, 6)] + [("k0", "z")]
+    n = nd.EXPANDED + 5
+    rows = [(f"a{i:02d}", t) for i in range(n)] + [(f"b{i:02d}", t + " nëntë") for i in range(n)] + [("z", t + " dhjetë"), ("q", "krejt tjetër gjë nga këto")]
+    c = nd.Classes(spark.createDataFrame(rows, "key string, text string"), 3, 0.5)
+    got = {(r.key_a, r.key_b) for r in c.pairs().collect()}
+    inside = {(f"{x}00", f"{x}{i:02d}") for x in "ab" for i in range(1, n)}
+    across = {("a00", f"b{i:02d}") for i in range(n)} | {(f"a{i:02d}", "b00") for i in range(n)} | {(f"{x}{i:02d}", "z") for x in "ab" for i in range(n)}
+    assert got == inside | across
+    assert {(r.class_a, r.class_b) for r in c.links().collect()} == {("a00", "b00"), ("a00", "z"), ("b00", "z")}
+    members = {r.key: (r.class_id, r.n_copies, r.n_links) for r in c.members().collect()}
+    assert members["a07"] == ("a00", n, 2 * n) and members["z"] == ("z", 1, 2 * n) and members["q"] == ("q", 1, 0) and len(members) == len(rows)
+
+
+def test_bands_of_many_texts_leave_in_blocks(spark):
+    """More different texts than GROUP that share all their bands."""
+    t = " ".join(f"fjala{i}" for i in range(80))
+    rows = [(f"k{i:03d}", f"{t} fund{i}") for i in range(nd.GROUP + 20)]
+    got = {(r.key_a, r.key_b) for r in nd.near_duplicates(spark.createDataFrame(rows, "key string, text string"), 3, 0.5).collect()}
+    assert len(got) == len(rows) * (len(rows) - 1) // 2
 
 
 def test_signature_estimates_similarity():

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 from hypothesis import given, settings
@@ -38,3 +39,11 @@ def test_hot_size(spark):
     kinds = spark.createDataFrame([("k", 100)], "container_kind string, capacity int")
     r = pk.pack(sizes, kinds).groupBy("container_no").agg({"n_tokens": "sum"}).collect()
     assert max(x[1] for x in r) <= 100 and len(r) <= 1.02 * 80000 / 100 + 1
+
+
+def test_the_plan_is_bounded_by_the_capacity():
+    rng = random.Random(11)
+    for c in (64, 512, 2048):
+        for scale in (3, 1000, 10**7):
+            rows, _ = pk.plan({s: rng.randrange(1, scale) for s in range(1, c + 1)}, c)
+            assert len(rows) <= 3 * c * (2 * c) ** 0.5
