@@ -38,9 +38,8 @@ CUTS = r" \n\r\t\f\x0b!-/:-@\[-`{-~«»‹›“”„‟‘’‚‛‐‑‒
 WORD = rf"[^{CUTS}]+"
 #: A character that can stand in for, or hide among, ordinary ones.
 ODD = (
-    r"[\u00a0\u00ad\u0300-\u036f\u0370-\u03ff\u0400-\u052f\u0531-\u0587\u034f\u061c\u115f\u1160\u1680\u17b4\u17b5\u180e"
-    r"\u1d00-\u1dbf\u1ab0-\u1aff\u1dc0-\u1dff\u1e9a\u1f00-\u1fff\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2070-\u209c\u20d0-\u20ff\u2100-\u2115\u2117-\u2121\u2123-\u218f"
-    r"\u2460-\u24ff\u2c60-\u2c7f\u3000\u3164\u3300-\u33ff\uf900-\ufaff\ufb00-\ufb4f\ufe00-\ufe0f\ufe20-\ufe2f\ufe30-\ufe6f\ufeff\uff00-\uffef\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff\U000e0000-\U000e01ef]"
+    r"[\u00a0\u00ad\u0300-\u1dff\u1e9a\u1f00-\u1fff\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2070-\u209c\u20d0-\u20ff\u2100-\u2115\u2117-\u2121\u2123-\u218f"
+    r"\u2460-\u24ff\u2c00-\u2dff\u3000-\ua71f\ua800-\uab2f\uab70-\ud7ff\uf900-\ufaff\ufb00-\ufb4f\ufe00-\ufe0f\ufe20-\ufe2f\ufe30-\ufe6f\ufeff\uff00-\uffef\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff\U000e0000-\U000e01ef]"
 )
 _INVISIBLE = r"[\p{Cf}\x{034f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{3164}\x{fe00}-\x{fe0f}\x{ffa0}]"
 _LATIN_LETTER, _OTHER_LETTER = r"\p{IsLatin}", r"[\p{L}&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]"

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actmill.llm.words import likely
-from actmill.session import cut, table
+from actmill.session import cut, release, table
 
 #: Rows of a band and number of bands, for long texts and for short ones that share most of their words anyway.
 LONG, SHORT = (5, 80), (12, 96)
@@ -292,23 +292,32 @@ def _verify(pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _sketched(texts: DataFrame, shingle: int, threshold: float, shape: tuple[int, int], parts: int | None) -> DataFrame:
+    """``a, b`` of the texts that share a band and whose sketches do not tell them apart."""
+    parts = parts or max(4, -(-texts.count() * shape[1] // PART))
+    pairs = cut(_candidates(_bands(texts, shingle, *shape, parts)))
+    release(texts.sparkSession)
+    asked = _ids(pairs)
+    sketch = _sketches(likely(texts, F.col("id"), asked), shingle).dropDuplicates(["id"])
+    names = [f"s{j}" for j in range(SKETCH // 64)]
+    a = sketch.select(F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in names])
+    b = sketch.select(F.col("id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in names])
+    differ = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in names)
+    expected = SKETCH * (1 - threshold) / 2
+    most = expected + DEVIATIONS * (SKETCH * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5
+    return cut(pairs.join(a, "a").join(b, "b").filter(differ <= most).select("a", "b"))
+
+
 def similar_texts(items: DataFrame, shingle: int, threshold: float, shape: tuple[int, int] = LONG, parts: int | None = None, exact: bool = False) -> DataFrame:
     """``a, b, similarity``: different texts, by the hash of each, whose distinct shingles have at least ``threshold`` in common."""
     texts = items.filter("text is not null").select(_key(F.col("text")).alias("id"), "text")
-    if exact:
-        maybe = cut(_exact_candidates(texts, shingle, threshold))
-    else:
-        parts = parts or max(4, -(-texts.count() * shape[1] // PART))
-        pairs = _candidates(_bands(texts, shingle, *shape, parts))
-        sketch = _sketches(texts, shingle).dropDuplicates(["id"])
-        names = [f"s{j}" for j in range(SKETCH // 64)]
-        a = sketch.select(F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in names])
-        b = sketch.select(F.col("id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in names])
-        differ = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in names)
-        expected = SKETCH * (1 - threshold) / 2
-        most = expected + DEVIATIONS * (SKETCH * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5
-        maybe = cut(pairs.join(a, "a").join(b, "b").filter(differ <= most).select("a", "b"))
-    needed = maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    maybe = cut(_exact_candidates(texts, shingle, threshold)) if exact else _sketched(texts, shingle, threshold, shape, parts)
+    release(texts.sparkSession)
+    needed = _ids(maybe)
     stored = likely(texts, F.col("id"), needed).join(needed, "id", "left_semi").dropDuplicates(["id"])
     full = maybe.join(stored.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(stored.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return _verify(full, shingle, threshold)
