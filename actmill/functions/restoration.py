@@ -7,7 +7,7 @@ Null texts have no words; an empty map changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actmill.functions.text import CHUNKS_SQL, FOLD_FROM, FOLD_TO, fold
@@ -45,6 +45,15 @@ def restore(queries: DataFrame, mapping: DataFrame, key: str, text: str) -> Data
     return queries.select(key, text).join(done, key, "left").select(key, F.coalesce("restored", F.col(text)).alias(text))
 
 
+def save(mapping: DataFrame, path: str) -> None:
+    """Write a map as lines of JSON, in place of one that is there."""
+    mapping.select("skeleton", "form").write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("skeleton string, form string").json(path)
+
+
 def _chunks(spark, root):
     return table(spark, root, "chunks").dropDuplicates(["chunk_id"])
 

@@ -1,7 +1,7 @@
 """Ranked retrieval: lexical (BM25), dense (exact inner product), fused (reciprocal ranks), expanded, re-ranked and cited.
 
-Queries are a table and are answered together.  The lexical arm joins the terms of the queries with the postings that hold
-them, so chunks without a query term are never scored.  The dense arm multiplies blocks of queries with blocks of vectors and
+Queries are a table and are answered together.  The lexical arm joins the terms of the queries with the stored postings
+that hold them, so chunks without a query term are never read.  The dense arm multiplies blocks of queries with blocks of vectors and
 keeps the best of each block.  Ties are broken by key everywhere, and scores are compared at nine decimals.
 
 Texts without terms have no postings and a zero vector, which no query finds; queries without terms have no hits.
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actmill.functions import text as tx
-from actmill.session import table
+from actmill.functions.restoration import restore
+from actmill.session import cut, scratch, table
 
 # Fixed values ---------------------------------------------------------------------------------------------------------
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
@@ -31,8 +32,8 @@ HITS_READ, PER_ARTICLE, LEAST_SCORE = 4, 2, 0.08
 # ----------------------------------------------------------------------------------------------------------------------
 #: Dimensions of the built-in encoder, a stand-in for a neural one: a text's terms hashed into signed sums.
 DIMENSIONS = 64
-#: Query terms up to which the terms are sent to the postings.
-SENT = 100_000
+#: Buckets of terms of the lexical index, and parts of a bucket.
+BUCKETS, PARTS = 16, 4
 #: Rows of a block of the dense arm.
 BLOCK = 2048
 
@@ -79,24 +80,55 @@ def top(df: DataFrame, by: list[str], k: int, order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
-    """``qid, strategy, chunk_id, score, rank``: best chunks with a positive score per query and strategy."""
+def store_postings(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The lexical index of ``chunks`` in a folder: texts are tokenised once, here.
+
+    ``postings``  ``strategy, term, chunk_id, dl, tf`` by bucket of the term;
+    ``terms``     ``strategy, term, idf, avgdl``, what the score needs to know of a term, by the same buckets.
+    """
+    spark = chunks.sparkSession
     p = postings(chunks.withColumn("t", tx.embed_text(F.col("cite"), F.col("heading"), F.col("text"))), "chunk_id", "t", ("strategy",))
-    n = p.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # a row per strategy
-    flat = p.select("chunk_id", "strategy", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("z")).select("chunk_id", "strategy", "dl", F.col("z.terms").alias("term"), F.col("z.tfs").alias("tf"))
-    df = flat.groupBy("strategy", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "strategy")
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    flat = p.select("chunk_id", "strategy", "dl", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("z")).select("strategy", F.col("z.terms").alias("term"), "chunk_id", "dl", F.col("z.tfs").alias("tf"))
+    flat = flat.withColumn("bucket", F.coalesce(_bucket(F.col("term")), F.lit(-1)))  # texts without terms count for the lengths only
+    # Parts of a bucket, so that no frequent term makes a large task.
+    flat.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    stored = _postings(spark, path)
+    lengths = stored.groupBy("strategy", "chunk_id").agg(F.max("dl").alias("dl"))
+    n = lengths.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # a row per strategy
+    df = stored.filter("bucket >= 0").groupBy("strategy", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "strategy")
+    raw = cut(df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.groupBy("strategy").agg(F.avg("raw").alias("mean"))
     idf = raw.join(F.broadcast(mean), "strategy").select("strategy", "term", "avgdl", F.when(F.col("raw") < 0, NEGATIVE_IDF * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    idf.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{path}/terms")
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _postings(spark, path: str) -> DataFrame:
+    return spark.read.schema("strategy string, term string, chunk_id string, dl int, tf int, bucket int").parquet(f"{path}/postings")
+
+
+def bm25_stored(spark, path: str, queries: DataFrame, k: int = POOL, strategy: str | None = None) -> DataFrame:
+    """``qid, strategy, chunk_id, score, rank`` over a stored index, of whose postings only the buckets of the asked terms are read."""
     asked = queries.select("qid", F.explode(tx.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = idf.join(asked, "term").select("strategy", "term", "avgdl", "qid", (F.col("idf") * F.col("qtf") * (K1 + 1)).alias("w"))
-    if asked.count() <= SENT:  # query terms only; beyond that the join shuffles
-        weighted = F.broadcast(weighted)
+    buckets = [r.b for r in asked.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # at most BUCKETS numbers
+    read = lambda d: d.filter(F.col("bucket").isin(buckets) & (F.col("strategy") == strategy if strategy else F.lit(True))).drop("bucket")
+    terms = read(spark.read.schema("strategy string, term string, avgdl double, idf double, bucket int").parquet(f"{path}/terms"))
+    weighted = terms.join(asked, "term").select("strategy", "term", "avgdl", "qid", (F.col("idf") * F.col("qtf") * (K1 + 1)).alias("w"))
     part = F.col("w") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = flat.join(weighted, ["strategy", "term"]).groupBy("qid", "strategy", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    scored = read(_postings(spark, path)).join(weighted, ["strategy", "term"]).groupBy("qid", "strategy", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
     return top(scored.filter("score > 0"), ["qid", "strategy"], k, [F.desc("score"), F.asc("chunk_id")])
 
 
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
+    """``qid, strategy, chunk_id, score, rank``: best chunks with a positive score per query and strategy; the index is made for the call."""
+    path = scratch(chunks.sparkSession, "lexical")
+    store_postings(chunks, path)
+    return bm25_stored(chunks.sparkSession, path, queries, k)
+
+
 _HASHED: dict[str, tuple[int, float]] = {}
 
 
@@ -136,6 +168,12 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of a list array of vectors of one length, from its buffer."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(vectors), -1)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int, vector_key: str, query_key: str, group: str | None = None) -> DataFrame:
     """``query_key, (group,) vector_key, score, rank``: exact best inner products above 0, by blocks of queries and vectors."""
     kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((vectors, vector_key), (queries, query_key))}
@@ -148,8 +186,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, vector_key: str, query
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                qs, qv, gr, vs, vv = (batch.column(i)[r].as_py() for i in range(5))
-                s = np.round(np.asarray(qv, dtype=float) @ np.asarray(vv, dtype=float).T, 9)
+                qs, gr, vs = (batch.column(i)[r].as_py() for i in (0, 2, 3))
+                qv, vv = (_matrix(batch.column(i)[r].values) for i in (1, 4))
+                s = np.round(qv @ vv.T, 9)
                 names = np.asarray(vs)
                 order = np.argsort(names, kind="stable")
                 s, names = s[:, order], names[order]
@@ -195,18 +234,38 @@ def rerank(hits: DataFrame, queries: DataFrame, by: list[str], k: int, scorer: C
     return top(scored, by, k, [F.desc("pair"), F.asc("before")])
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "dense", k: int = TOP, pool: int = POOL, reranked: bool = False) -> DataFrame:
-    """Ranked, cited hits per query and strategy: ``qid, strategy, chunk_id, doc_id, unit, ..., score, rank``."""
+def chunk_vectors(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, strategy, v``: the vector of each chunk's text with its citation."""
+    text = chunks.withColumn("t", tx.embed_text(F.col("cite"), F.col("heading"), F.col("text")))
+    return encode(text.select("chunk_id", "strategy", "t"), "t").select("chunk_id", "strategy", "v")
+
+
+def query_vectors(queries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """``qid, v`` of the questions, of unit length; moved towards their best hits among ``vectors`` where these are given."""
+    v = encode(queries.select("qid", "question"), "question").select("qid", "v")
+    v = v.filter(F.exists("v", lambda x: x != 0)).select("qid", checked(F.col("v")).alias("v"))  # a question without terms finds nothing
+    return v if vectors is None else expanded(vectors, v, "chunk_id", "qid")
+
+
+def retrieve(
+    chunks: DataFrame, queries: DataFrame, mode: str = "dense", k: int = TOP, pool: int = POOL, reranked: bool = False, expand: bool = False, vectors: DataFrame | None = None, lexical: str | None = None, restoration: DataFrame | None = None, strategy: str | None = None,
+) -> DataFrame:
+    """Ranked, cited hits per query and strategy: ``qid, strategy, chunk_id, doc_id, unit, ..., score, rank``.
+
+    Stored ``vectors`` and the folder of a stored ``lexical`` index are read where given and made for the call otherwise;
+    ``expand`` moves the query vectors towards their best hits, of chunks of one strategy; a ``restoration`` map gives the dense arm questions with their accents.
+    """
     if mode not in ("dense", "bm25", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
     by = ["qid", "strategy"]
     arms = []
     if mode != "bm25":
-        text = chunks.withColumn("t", tx.embed_text(F.col("cite"), F.col("heading"), F.col("text")))
-        vectors = encode(text.select("chunk_id", "strategy", "t"), "t").select("chunk_id", "strategy", "v")
-        arms.append(dense(vectors, encode(queries.select("qid", "question"), "question").select("qid", "v"), pool, "chunk_id", "qid", "strategy").withColumn("arm", F.lit(0)))
+        stored = chunk_vectors(chunks) if vectors is None else vectors
+        asked = queries if restoration is None else restore(queries, restoration, "qid", "question")
+        arms.append(dense(stored, query_vectors(asked, stored if expand else None), pool, "chunk_id", "qid", "strategy").withColumn("arm", F.lit(0)))
     if mode != "dense":
-        arms.append(bm25(chunks, queries, pool).withColumn("arm", F.lit(1)))
+        found = bm25(chunks, queries, pool) if lexical is None else bm25_stored(chunks.sparkSession, lexical, queries, pool, strategy)
+        arms.append(found.withColumn("arm", F.lit(1)))
     ranked = arms[0] if len(arms) == 1 else rrf(arms[0].select(*by, "arm", "chunk_id", "rank").unionByName(arms[1].select(*by, "arm", "chunk_id", "rank")), by, "chunk_id", pool)
     hits = one_per_citation(ranked, chunks, by, DEPTH if reranked else k)
     return rerank(hits, queries, by, k) if reranked else hits

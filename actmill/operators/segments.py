@@ -2,7 +2,7 @@
 
 A document follows one of four conventions: article headings, decimal headings, paragraph numbers on their own line, or none
 (flat).  Articles come from splitting before each heading; long ones are cut into parts at line ends; fixed windows overlap.
-The cuts are folded over a sequence of steps inside the JVM, bounded by the length of the text.
+The cuts are found in one pass over a text, on Arrow batches.
 
 Null and empty texts are flat and have no segment; text before the first heading is dropped; an article without a rubric has
 an empty heading.
@@ -10,6 +10,7 @@ an empty heading.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,28 +72,29 @@ def heading_of(block: Column, kind: Column) -> Column:
     return F.when(kind == "neni", rubric(lines)).otherwise(F.left(F.coalesce(F.try_element_at(lines, F.when(kind == "decimal", 1).otherwise(2)), F.lit("")), F.lit(HEADING_CHARS)))
 
 
-def cuts(text: Column, size: int, overlap: int) -> Column:
-    """Array of (start, end) cuts: at most ``size`` characters, ended at the last line end of the second half where there is one."""
-    half, n = size // 2, F.length(text)
-    steps = F.sequence(F.lit(0), F.floor(n / (half - overlap)).cast("int") + 1)
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
+def cut_text(text: str, size: int, overlap: int) -> list[str]:
+    """Stripped, non-empty pieces of at most ``size`` characters, ended at the last line end of the second half where there is one; one pass."""
+    n, half, at, out = len(text), size // 2, 0, []
+    while at < n:
+        end = min(at + size, n)
+        if end < n:
+            line = text.rfind("\n", at + half, at + size)
+            end = line if line >= 0 else end
+        piece = text[at:end].strip(" \n\t\r")
+        if piece:
+            out.append(piece)
+        at = n if end >= n else max(end - overlap, at + 1)
+    return out
 
-    def step(state: Column, _: Column) -> Column:
-        start = state["at"]
-        back = F.instr(F.reverse(F.substring(text, start + half + 1, F.lit(size - half))), "\n")
-        hard = F.least(start + size, n)
-        end = F.when((hard < n) & (back > 0), start + size - back).otherwise(hard)
-        here = F.array(F.struct(start.cast("int").alias("lo"), end.cast("int").alias("hi")))
-        return F.when(start >= n, state).otherwise(F.struct(F.when(end >= n, n).otherwise(F.greatest(end - overlap, start + 1)).cast("int").alias("at"), F.concat(state["cuts"], here).alias("cuts")))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("cuts"))
-    return F.aggregate(steps, start, step, lambda s: s["cuts"])
+def pieces(text: Column, size: int, overlap: int) -> Column:
+    """Array of the pieces of a text; null for null."""
 
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cut_text(t, size, overlap), na_action="ignore")
 
-def pieces(text: Column, size: int, overlap: int) -> Column:
-    """Array of the stripped, non-empty pieces of a text."""
-    cut = F.transform(cuts(text, size, overlap), lambda c: F.btrim(F.substring(text, c["lo"] + 1, c["hi"] - c["lo"]), F.lit(" \n\t\r")))
-    return F.filter(cut, lambda p: p != "")
+    return cut(text)
 
 
 def articles(documents: DataFrame) -> DataFrame:
@@ -104,8 +106,8 @@ def articles(documents: DataFrame) -> DataFrame:
 
 def parts(rows: DataFrame) -> DataFrame:
     """Articles with long ones in parts: ``doc_id, no, part, label, cite, heading, text``."""
-    split = F.when(F.length("body") <= PART, F.array("body")).otherwise(pieces(F.col("body"), PART, 0))
-    p = rows.withColumn("parts", split).select("*", F.size("parts").alias("total"), F.posexplode("parts").alias("part", "piece"))
+    long = pieces(F.when(F.length("body") > PART, F.col("body")), PART, 0)  # short bodies are not looked at
+    p = rows.withColumn("parts", F.coalesce(long, F.array("body"))).select("*", F.size("parts").alias("total"), F.posexplode("parts").alias("part", "piece"))
     label = F.when(F.col("total") > 1, F.concat("label", F.lit(" ("), F.col("part") + 1, F.lit("/"), F.col("total"), F.lit(")"))).otherwise(F.col("label"))
     text = F.when(F.col("part") > 0, F.concat_ws("\n", "label", "heading", "piece")).otherwise(F.col("piece"))
     return p.select("doc_id", "no", "part", label.alias("label"), F.col("label").alias("cite"), "heading", text.alias("text"))

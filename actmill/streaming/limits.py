@@ -4,7 +4,8 @@ A call is admitted when fewer than ``limit`` admitted calls of its session, and
 within their windows; calls that are turned away leave no trace, so a decision depends on the decisions before it and no
 count over a frame can stand in for it.  Without the common limit every session is its own fold: rows are partitioned by
 session and sorted, and a fold over the sorted rows keeps no more than ``limit`` times of one session.  The common limit makes
-one sequence of all calls; it is a single sorted pass that keeps ``total`` times and the open sessions.
+one sequence of all calls, which falls apart where no call comes for longer than the windows: nothing is remembered there.
+Each such stretch is a sorted fold of its own that keeps ``total`` times and the open sessions.
 
 Calls without a session share one; calls without a time are turned away.  A stamp leaves a window when it is older than the
 window, not when it is exactly as old.  Ties are taken in the order of the call's id.
@@ -48,18 +49,19 @@ def admit(calls: DataFrame, limit: int = SESSION_LIMIT, window: float = SESSION_
     c = calls.select("call_id", F.coalesce(F.col("session").cast("string"), F.lit("anon")).alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everyone = Log(total, total_window) if total else None
+        everyone: Log | None = None
         sessions: dict[str, Log] = {}
         last = None
         for batch in batches:
             out = []
-            for session, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for session, at, part in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 if at is None:
                     out.append((False, 0))
                     continue
-                if everyone is None and session != last:
+                if part != last:
+                    everyone = Log(total, total_window) if total else None
                     sessions.clear()
-                    last = session
+                    last = part
                 own = sessions.get(session)
                 if own is None:
                     own = sessions[session] = Log(limit, window)
@@ -74,8 +76,25 @@ def admit(calls: DataFrame, limit: int = SESSION_LIMIT, window: float = SESSION_
                     out.append((True, 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.int32())], names=["call_id", "session", "allowed", "wait"])
 
-    rows = c.repartition(1).sortWithinPartitions("at", "call_id") if total else c.repartition("session").sortWithinPartitions("session", "at", "call_id")
-    return rows.mapInArrow(fold, "call_id long, session string, allowed boolean, wait int")
+    if total:
+        rows = stretches(c, max(window, total_window))
+    else:
+        rows = c.withColumn("part", F.col("session"))
+    return rows.repartition("part").sortWithinPartitions("part", "at", "call_id").mapInArrow(fold, "call_id long, session string, allowed boolean, wait int")
+
+
+def stretches(calls: DataFrame, longest: float) -> DataFrame:
+    """Calls with ``part``: the stretch they belong to, between gaps of more than ``longest`` seconds; calls without a time are spread.
+
+    Gaps are looked for between cells of that length, of which there are as many as the time holds, not as there are calls.
+    """
+    cell = F.floor(F.col("at") / longest)
+    cells = calls.filter("at is not null").groupBy(cell.alias("cell")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    order = Window.orderBy("cell")
+    begins = (F.col("lo") - F.lag("hi").over(order) > longest).cast("int")
+    parts = cells.select(F.col("cell").alias("of"), F.coalesce(begins, F.lit(0)).alias("begins"), "cell").select("of", F.sum("begins").over(order).alias("part"))
+    spread = -1 - F.pmod(F.xxhash64("call_id"), F.lit(64))
+    return calls.join(parts, cell == F.col("of"), "left").select(*calls.columns, F.coalesce("part", spread).alias("part"))
 
 
 def admit_stream(calls: DataFrame, limit: int = SESSION_LIMIT, window: float = SESSION_WINDOW, delay: str = "1 hour") -> DataFrame:
@@ -125,21 +144,23 @@ def limiter_total(spark, root: str) -> DataFrame:
 
 
 def limiter_stats(spark, root: str) -> DataFrame:
-    """Calls in the hour up to the last call, and sessions ever seen."""
+    """Calls admitted in the hour up to the last call, with at most 2 of a user in a day, and sessions ever seen."""
     c = _calls(spark, root)
     end = c.agg(F.max("ts").alias("end"))  # one row
-    return c.crossJoin(end).agg(F.count_if(F.col("ts") >= F.col("end") - F.expr("interval 1 hour")).alias("last_hour"), F.countDistinct("session").alias("sessions"))
+    d = admit(c, 2, 86400).join(c.select("call_id", "ts"), "call_id").crossJoin(end)
+    return d.agg(F.count_if(F.col("allowed") & (F.col("ts") >= F.col("end") - F.expr("interval 1 hour"))).alias("last_hour"), F.countDistinct("session").alias("sessions"))
 
 
 QUERIES = {"limiter_sessions": limiter_sessions, "limiter_total": limiter_total, "limiter_stats": limiter_stats}
 # The fold of one user by recursion: the state is the list of admitted times.
-ORACLES = {
-    "limiter_sessions": """with recursive e as (select event_id, user_id, epoch_us(ts) / 1e6 t, row_number() over (partition by user_id order by ts, event_id) i from events),
-r(user_id, i, event_id, s, allowed, wait) as (
- select user_id, i, event_id, [t], true, 0 from e where i = 1
+_SESSIONS = """with recursive e as (select event_id, user_id, ts, epoch_us(ts) / 1e6 t, row_number() over (partition by user_id order by ts, event_id) i from events),
+r(user_id, i, event_id, ts, s, allowed, wait) as (
+ select user_id, i, event_id, ts, [t], true, 0 from e where i = 1
  union all
- select e.user_id, e.i, e.event_id, case when len(k) < 2 then list_append(k, t) else k end, len(k) < 2, case when len(k) < 2 then 0 else cast(trunc((86400 - (t - k[1])) / 60) as int) + 1 end
- from (select r.user_id, e.i, e.event_id, e.t, list_filter(r.s, lambda x: e.t - x <= 86400) k from r join e on e.user_id = r.user_id and e.i = r.i + 1) e)
-select event_id call_id, allowed, wait from r""",
-    "limiter_stats": "select count_if(ts >= (select max(ts) from events) - interval 1 hour) last_hour, count(distinct user_id) sessions from events",
+ select e.user_id, e.i, e.event_id, e.ts, case when len(k) < 2 then list_append(k, t) else k end, len(k) < 2, case when len(k) < 2 then 0 else cast(trunc((86400 - (t - k[1])) / 60) as int) + 1 end
+ from (select r.user_id, e.i, e.event_id, e.ts, e.t, list_filter(r.s, lambda x: e.t - x <= 86400) k from r join e on e.user_id = r.user_id and e.i = r.i + 1) e)
+"""
+ORACLES = {
+    "limiter_sessions": _SESSIONS + "select event_id call_id, allowed, wait from r",
+    "limiter_stats": _SESSIONS + "select count_if(allowed and ts >= (select max(ts) from events) - interval 1 hour) last_hour, count(distinct user_id) sessions from r",
 }

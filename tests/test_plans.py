@@ -22,7 +22,24 @@ def test_index_package(spark, tmp_path):
     q = spark.createDataFrame([("q", "doganat")], "qid string, question string")
     hits = ix.search_index(spark, str(tmp_path), q, mode="bm25").collect()
     assert [(h.doc_id, h.unit) for h in hits] == [(2, "Pjesa 1/1")]
-    assert ix.context_blocks(ix.search_index(spark, str(tmp_path), q)).first().context.startswith("[S1] ")
+    context = ix.context_blocks(ix.search_index(spark, str(tmp_path), q)).first().context
+    assert context.startswith("[S1] Pjesa 1/1 — \nBurimi: 2\nProzë")
+    # The stored index gives what a search that makes its own gives, also with expanded query vectors.
+    chunks = spark.read.parquet(f"{tmp_path}/chunks").filter("strategy = 'article'")
+    for mode in ("bm25", "dense", "hybrid"):
+        rows = lambda d: [(r.qid, r.chunk_id, r.rank) for r in d.orderBy("qid", "rank").collect()]
+        ask = spark.createDataFrame([("a", "tatimin e vlerës"), ("b", "doganat"), ("c", "e"), ("d", None)], "qid string, question string")
+        assert rows(ix.search_index(spark, str(tmp_path), ask, mode=mode, expand=True)) == rows(ix.rt.retrieve(chunks, ask, mode, expand=True))
+    stored = ix.rt._postings(spark, f"{tmp_path}/lexical")
+    asked = stored.filter(stored.bucket == 3).select(F.input_file_name().alias("f")).distinct().collect()
+    assert all("bucket=3/" in r.f for r in asked)
+
+
+def test_saved_map(spark, tmp_path):
+    m = spark.createDataFrame([("per", "për"), ("kete", "këtë")], "skeleton string, form string")
+    re_.save(m, str(tmp_path / "m"))
+    re_.save(m.limit(1), str(tmp_path / "m"))
+    assert [tuple(r) for r in re_.load(spark, str(tmp_path / "m")).collect()] == [("per", "për")]
 
 
 def test_verdict_margin(spark):
