@@ -116,7 +116,19 @@ def p6_counts(spark, root: str) -> DataFrame:
     return rows.groupBy("source_table", "period", "field", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts}
+def p6_masks(spark, root: str) -> DataFrame:
+    """Questions whose gold document and article together name no chunk, nulls included, under each match semantics.
+
+    ``match, id, mask``; ``mask`` tells which part of the reference is null.
+    """
+    q = table(spark, root, "questions").select("id", F.col("gold_doc_id").alias("doc"), same_spelling(F.col("gold_article")).alias("art")).distinct()
+    keys = table(spark, root, "chunks").select(F.col("doc_id").alias("c_doc"), same_spelling(F.col("cite")).alias("c_art"))
+    mask = F.concat(F.when(F.col("doc").isNull(), "-").otherwise("d"), F.when(F.col("art").isNull(), "-").otherwise("a"))
+    parts = [orphans(q, keys, {"doc": "c_doc", "art": "c_art"}, m).select(F.lit(m).alias("match"), "id", mask.alias("mask")) for m in ("simple", "partial", "full")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts, "p6_masks": p6_masks}
 
 _STATES = r"""
 with docs as (select doc_id d_id, min(added_at) d_added from documents group by 1),
@@ -137,4 +149,10 @@ states as (
 ORACLES = {
     "p6_found": _STATES + "select distinct field, row_key, ref, status from states where status is not null",
     "p6_counts": _STATES + "select source_table, period, field, status, count(*) n from (select distinct * from states where status is not null) group by all",
+    "p6_masks": r"""with q as (select distinct id, gold_doc_id doc, lower(regexp_replace(gold_article, '\s+', '', 'g')) art from questions),
+k as (select distinct doc_id c_doc, lower(regexp_replace(cite, '\s+', '', 'g')) c_art from chunks),
+m as (select id, doc, art, case when doc is null then '-' else 'd' end || case when art is null then '-' else 'a' end mask from q)
+select 'simple' as "match", id, mask from m where mask = 'da' and not exists (select 1 from k where c_doc = doc and c_art = art)
+union select 'partial', id, mask from m where mask <> '--' and not exists (select 1 from k where (doc is null or c_doc = doc) and (art is null or c_art = art))
+union select 'full', id, mask from m where mask in ('d-', '-a') or mask = 'da' and not exists (select 1 from k where c_doc = doc and c_art = art)""",
 }

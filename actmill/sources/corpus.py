@@ -241,9 +241,9 @@ def documents_left_out(spark, root: str) -> DataFrame:
 
 
 def content_hashes(spark, root: str) -> DataFrame:
-    """Documents with the same content, by hash."""
-    d = table(spark, root, "documents").filter("text is not null and text <> ''").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
-    return d.filter("n > 1")
+    """Texts that several chunks hold, by hash."""
+    c = table(spark, root, "chunks").filter("text <> ''").select("chunk_id", F.sha2("text", 256).alias("sha256")).distinct()
+    return c.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first_id")).filter("n > 1")
 
 
 QUERIES = {
@@ -264,5 +264,5 @@ ORACLES = {
     "category_tree": "select parent_category_id, category_id, arg_max(category, record_no) as name from records where parent_category_id is not null group by 1, 2",
     "listing_with_children": "with r as (select category_id, parent_category_id, doc_id, regexp_replace(title, '\\s+$', '') title from records), u as (select category_id, doc_id, title from r union all select parent_category_id, doc_id, title from r where parent_category_id is not null), b as (select category_id, doc_id, max(length(title)) n from u where title <> '' group by all) select category_id, count(*) n, cast(sum(n) as bigint) n_chars from b group by 1",
     "documents_left_out": f"with r as (select doc_id, case when text is null then 'unreadable' when length(trim(text)) = 0 then 'empty file' when length(trim(text)) < {LEAST_TEXT} then 'no extractable text' end reason from documents) select reason, count(*) n, array_to_string(list_sort(list(doc_id))[1:{IDS_SHOWN}], ', ') sample from r where reason is not null group by 1",
-    "content_hashes": "select sha256(text) sha256, count(*) n, min(doc_id) first_id from documents where text <> '' group by 1 having count(*) > 1",
+    "content_hashes": "select sha256(text) sha256, count(distinct chunk_id) n, min(chunk_id) first_id from chunks where text <> '' group by 1 having count(distinct chunk_id) > 1",
 }
