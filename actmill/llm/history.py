@@ -21,8 +21,8 @@ pre-aggregated to one candidate a slot, and waiting for two slots either way is
 earliest open line at least; there are as many rounds as the longest chain of lines that decide over each other.
 
 Defined results: null or blank hash, or ``n_bytes`` 0: no hash.  Null or blank url: no download.  Unreadable or null
-``fetched_at``: never within 24 hours.  A line with neither hash nor download is accepted.  Of several rows with one
-``record_no`` the least counts.  Appending a batch twice changes no result.  Empty tables give no rows.
+``fetched_at``: never within 24 hours.  A line with neither hash nor download is accepted.  Repeated rows count once; different
+rows under one ``record_no`` arrive together.  Appending a batch twice changes no result.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -70,11 +70,9 @@ def download_tokens(url: Column) -> Column:
 def lines(records: DataFrame) -> DataFrame:
     """``record_no, hash, url, url_tokens, at, slot`` of each manifest line; ``url`` names the download."""
     at = F.unix_micros(F.try_to_timestamp(F.trim("fetched_at")))
-    raw = ["sha256", "url", "n_bytes", "fetched_at"]
-    one = records.filter("record_no is not null").groupBy("record_no").agg(F.min(F.struct(*raw)).alias("r")).select("record_no", "r.*")
     toks = download_tokens(F.col("url"))
-    df = one.select("record_no", clean_hash(F.col("sha256"), F.col("n_bytes")).alias("hash"), toks.alias("url_tokens"), at.alias("at"))
-    return df.select("record_no", "hash", F.array_join("url_tokens", "\n").alias("url"), "url_tokens", "at", F.floor(F.col("at") / SLOT_US).alias("slot"))
+    df = records.filter("record_no is not null").select("record_no", clean_hash(F.col("sha256"), F.col("n_bytes")).alias("hash"), toks.alias("url_tokens"), at.alias("at"))
+    return df.select("record_no", "hash", F.array_join("url_tokens", "\n").alias("url"), "url_tokens", "at", F.floor(F.col("at") / SLOT_US).alias("slot")).distinct()
 
 
 def token_sets(batch: DataFrame) -> DataFrame:
@@ -100,7 +98,7 @@ class Index:
         ranks = token_sets(first).select(F.explode("tokens").alias("token"), "n_lines").groupBy("token").agg(F.sum("n_lines").alias("df")).filter(F.col("df") >= RANKED)
         ranks.write.parquet(f"{path}/ranks")
         spark.createDataFrame([(buckets, overlap)], "buckets int, overlap double").coalesce(1).write.parquet(f"{path}/shape")
-        for name, fields in (("postings", "token string, salt int, set string, tokens array<string>, n int, bucket int"), ("sightings", "url string, slot long, at long, bucket int")):
+        for name, fields in (("postings", "token string, salt int, set string, tokens array<string>, n int, bucket int"), ("sightings", "u binary, slot long, at long, bucket int")):
             spark.createDataFrame([], fields).write.partitionBy("bucket").parquet(f"{path}/{name}")
         return cls(spark, path)
 
@@ -112,14 +110,14 @@ class Index:
         return self._stored("postings", "token string, salt int, set string, tokens array<string>, n int", buckets)
 
     def sightings(self, buckets: list[int]) -> DataFrame:
-        return self._stored("sightings", "url string, slot long, at long", buckets)
+        return self._stored("sightings", "u binary, slot long, at long", buckets)
 
     def _bucket(self, *key: str) -> Column:
         return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
 
     def buckets_of(self, prefixes: DataFrame, batch: DataFrame) -> tuple[list[int], list[int]]:
         """Numbers of the buckets of postings and of sightings that a batch asks for."""
-        of_urls = batch.filter("url is not null and at is not null").select(F.lit(1).alias("kind"), self._bucket("url").alias("bucket"))
+        of_urls = _times(batch).select(F.lit(1).alias("kind"), self._bucket("u").alias("bucket"))
         rows = prefixes.select(F.lit(0).alias("kind"), "bucket").unionByName(of_urls).distinct().collect()
         return [r.bucket for r in rows if not r.kind], [r.bucket for r in rows if r.kind]
 
@@ -128,15 +126,17 @@ class Index:
 
         Below an overlap of 1 a partner may lie under any salt of a token, so that a set probes all of them.
         """
-        ranks = self.spark.read.parquet(f"{self.path}/ranks")
-        flat = sets.select("set", "tokens", F.explode("tokens").alias("token")).join(ranks, "token", "left")
+        single = F.size("tokens") == 1  # its token is the prefix, and no other set has it
+        alone = sets.filter(single).select("set", "tokens", F.lit(1).alias("n"), F.element_at("tokens", 1).alias("token"), F.lit(0).alias("own"), F.lit(0).alias("salt"))
+        ranks = self.spark.read.schema("token string, df long").parquet(f"{self.path}/ranks")
+        flat = sets.filter(~single).select("set", "tokens", F.explode("tokens").alias("token")).join(ranks, "token", "left")
         ordered = flat.groupBy("set", "tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("o"))
         n = F.size("tokens")
         first = ordered.select("set", "tokens", n.alias("n"), F.explode(F.slice("o", F.lit(1), (n - F.ceil(n * overlap - 1e-9) + 1).cast("int"))).alias("o"))
         salts = F.greatest(F.lit(1), F.ceil(F.col("o.df") / HOT)).cast("int")
         own = F.pmod(F.xxhash64("set"), salts).cast("int")
         rows = first.select("set", "tokens", "n", F.col("o.token").alias("token"), own.alias("own"), F.explode(F.array(own) if overlap >= 1 else F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        return rows.withColumn("bucket", self._bucket("token", "salt"))
+        return alone.unionByName(rows).withColumn("bucket", self._bucket("token", "salt"))
 
     def probe(self, prefixes: DataFrame, overlap: float, buckets: list[int]) -> DataFrame:
         """``set, partner``: sets of the index that overlap with a probing one by ``overlap`` of all their tokens at least."""
@@ -150,29 +150,37 @@ class Index:
     def append(self, prefixes: DataFrame, seen: DataFrame) -> None:
         """Add the sets of accepted lines that are new, and where and when the lines were fetched."""
         prefixes.filter("salt = own").select("token", "salt", "set", "tokens", "n", "bucket").repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        times = seen.filter("url is not null and at is not null").groupBy("url", "slot").agg(F.min("at").alias("at"))  # at most one a slot is accepted
-        times.withColumn("bucket", self._bucket("url")).repartition("bucket").sortWithinPartitions("bucket", "url").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/sightings")
+        times = _times(seen).groupBy("u", "slot").agg(F.min("at").alias("at"))  # at most one a slot is accepted
+        times.withColumn("bucket", self._bucket("u")).repartition("bucket").sortWithinPartitions("bucket", "u").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/sightings")
+
+
+def _digest(c: Column) -> Column:
+    """16 bytes that stand for a string."""
+    return F.unhex(F.md5(c))
 
 
 def keyed(batch: DataFrame) -> DataFrame:
-    """Lines with a key for each thing they can share: hash ``h``, download ``u``, download and slot ``t``; a line without it has a key of its own."""
+    """Lines with a key for each thing they can share: hash ``h``, download ``u``, download and slot ``t``; a line without it has a key of its own.
+
+    Keys are digests of 16 bytes, so that what crosses the shuffles is small.
+    """
     own = F.concat(F.lit("\0"), F.col("record_no"))
-    spot = F.when(F.col("url").isNotNull() & F.col("slot").isNotNull(), _spot(F.col("slot")))
-    return batch.select("record_no", F.col("hash").isNotNull().alias("hashed"), F.coalesce("hash", own).alias("h"), F.coalesce("url", own).alias("u"), F.coalesce(spot, own).alias("t"), "url", "slot", "at")
+    d = batch.select("record_no", F.col("hash").isNotNull().alias("hashed"), F.col("url").isNotNull().alias("placed"), _digest(F.coalesce(F.concat(F.lit("s:"), F.col("hash")), own)).alias("h"), _digest(F.coalesce("url", own)).alias("u"), "slot", "at")
+    return d.withColumn("t", F.when(F.col("placed") & F.col("slot").isNotNull(), _spot(F.col("slot"))).otherwise(_digest(own)))
 
 
 def _spot(slot: Column) -> Column:
-    return F.concat(F.col("url"), F.lit("\n"), slot)
+    return _digest(F.concat(F.hex("u"), F.lit(" "), slot))
 
 
 def _around(rows: DataFrame, *values: str) -> DataFrame:
     """Rows of a download and slot under the keys of all slots that may be less than a day away."""
     slots = F.sequence(F.col("slot") - 2, F.col("slot") + 2)
-    return rows.filter("url is not null and slot is not null").select(F.explode(F.transform(slots, _spot)).alias("t"), *values)
+    return rows.select(F.explode(F.transform(slots, _spot)).alias("t"), *values)
 
 
 def _covered(d: DataFrame, hashes: DataFrame, urls: DataFrame, times: DataFrame) -> DataFrame:
-    """``d`` with ``hit``: whether accepted hashes ``h``, downloads ``u`` or fetch times ``url, slot, at`` make a line a case, and ``known``: whether its download is known."""
+    """``d`` with ``hit``: whether accepted hashes ``h``, downloads ``u`` or fetch times ``u, slot, at`` make a line a case, and ``known``: whether its download is known."""
     near = _around(times, "at").groupBy("t").agg(F.collect_set("at").alias("ats"))  # five at most: one a slot
     rows = d.join(hashes.distinct().withColumn("a", F.lit(True)), "h", "left").join(urls.distinct().withColumn("b", F.lit(True)), "u", "left").join(near, "t", "left")
     close = F.coalesce(F.exists("ats", lambda x: F.abs(F.col("at") - x) < DAY_US), F.lit(False))
@@ -184,7 +192,7 @@ def _settle(d: DataFrame) -> DataFrame:
     """Open lines with ``done``: true where no undecided earlier line can decide the fate of the line."""
     first_hash = d.groupBy("h").agg(F.min("record_no").alias("m_hash"))
     first_url = d.groupBy("u").agg(F.min("record_no").alias("m_url"))
-    slots = d.filter("url is not null and slot is not null").groupBy("url", "slot").agg(F.min("record_no").alias("m"))
+    slots = d.filter("placed and slot is not null").groupBy("u", "slot").agg(F.min("record_no").alias("m"))
     near = _around(slots, "m").groupBy("t").agg(F.min("m").alias("m_near"))
     rows = d.join(first_hash, "h").join(first_url, "u").join(near, "t", "left")
     free = F.when(F.col("hashed"), F.coalesce(F.col("record_no") <= F.col("m_near"), F.lit(True))).otherwise(F.col("record_no") <= F.col("m_url"))
@@ -196,23 +204,27 @@ def _hashes(d: DataFrame) -> DataFrame:
 
 
 def _urls(d: DataFrame) -> DataFrame:
-    return d.filter("url is not null").select("u")
+    return d.filter("placed").select("u")
+
+
+def _times(d: DataFrame) -> DataFrame:
+    return d.filter("placed and slot is not null").select("u", "slot", "at")
 
 
 def near_sets(index: Index, batch: DataFrame, overlap: float) -> DataFrame:
     """``set, partner``: the hashes and downloads of a batch of ``lines`` that are nearly those of accepted lines."""
     prefixes = cut(index.prefixes(token_sets(batch), overlap))
-    return index.probe(prefixes, overlap, index.buckets_of(prefixes, batch)[0])
+    return index.probe(prefixes, overlap, index.buckets_of(prefixes, keyed(batch))[0])
 
 
 def take(index: Index, batch: DataFrame) -> DataFrame:
     """Judge the ``lines`` of a new batch against the index, append what is accepted, and give the ``record_no`` of the cases."""
-    batch = cut(batch)
     prefixes = cut(index.prefixes(token_sets(batch), index.overlap))
-    state = keyed(batch)
+    state = cut(keyed(batch))
     asked, seen = index.buckets_of(prefixes, state)
     met = cut(index.probe(prefixes, 1.0, asked).select("set").distinct())
-    state = cut(_covered(state, met.filter("set like 's:%'").select(F.substring("set", 3, 1 << 30).alias("h")), met.select(F.col("set").alias("u")), index.sightings(seen)))
+    key = _digest(F.col("set"))  # of a hash or a download
+    state = cut(_covered(state, met.filter("set like 's:%'").select(key.alias("h")), met.filter("set not like 's:%'").select(key.alias("u")), index.sightings(seen)))
     cases, accepted, open_lines = state.filter("hit").select("record_no"), None, state.filter("not hit").drop("hit")
     while not open_lines.isEmpty():
         settled = cut(_settle(open_lines))
@@ -220,12 +232,12 @@ def take(index: Index, batch: DataFrame) -> DataFrame:
         accepted = fresh if accepted is None else accepted.unionByName(fresh)
         if rest.isEmpty():
             break
-        rest = cut(_covered(rest, _hashes(fresh), _urls(fresh), fresh.select("url", "slot", "at")))
+        rest = cut(_covered(rest, _hashes(fresh), _urls(fresh), _times(fresh)))
         cases = cases.unionByName(rest.filter("hit").select("record_no"))
         open_lines = rest.filter("not hit").drop("hit")
     if accepted is not None:
-        held = accepted.filter("hashed").select(F.concat(F.lit("s:"), F.col("h")).alias("set")).unionByName(accepted.filter("url is not null").select(F.col("url").alias("set"))).distinct()
-        index.append(prefixes.join(held, "set", "left_semi").join(met, "set", "left_anti"), accepted)
+        held = _hashes(accepted).select(F.col("h").alias("k")).unionByName(_urls(accepted).select(F.col("u").alias("k"))).distinct()
+        index.append(prefixes.join(met, "set", "left_anti").join(held, _digest(F.col("set")) == F.col("k"), "left_semi"), accepted)
     return cases
 
 
@@ -240,7 +252,7 @@ def duplicates(records: DataFrame, path: str | None = None, buckets: int | None
     records.select("record_no").limit(0).write.parquet(found)
     index = None
     for b in batches:
-        batch = lines(stored.filter(F.col("batch") == b))
+        batch = cut(lines(stored.filter(F.col("batch") == b)))
         if index is None:
             index = Index.create(batch, home, buckets)
         take(index, batch).write.mode("append").parquet(found)

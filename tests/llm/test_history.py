@@ -82,7 +82,7 @@ def test_a_new_batch_reads_its_own_buckets_and_the_index_outlives_the_caller(spa
     for n in (2, 6):
         batch = numbered(spark, range(5000, 5000 + n), "h7")
         sets = index.prefixes(h.token_sets(batch), 1.0)
-        asked, seen = index.buckets_of(sets, batch)
+        asked, seen = index.buckets_of(sets, h.keyed(batch))
         read[n] = bytes_of(index.postings(asked)) + bytes_of(index.sightings(seen))
     every = bytes_of(index.postings(list(range(64)))) + bytes_of(index.sightings(list(range(64))))
     assert read[2] < read[6] < 0.25 * every
