@@ -22,3 +22,9 @@ def test_grid_takes_every_question(spark, tmp_path):
     got = ev.eval_grid(spark, root(spark, tmp_path)).collect()
     assert {r["mode"] for r in got} == set(ev.MODES) and all(r.total == 40 for r in got)
     assert all(r.article_hits == r.doc_hits == 40 for r in got if r["mode"] == "bm25")
+
+
+def test_grid_searches_once(spark, tmp_path, monkeypatch):
+    calls, own = [], rt.searched
+    monkeypatch.setattr(rt, "searched", lambda *a: calls.append(a[3]) or own(*a))
+    assert ev.eval_grid(spark, root(spark, tmp_path)).count() == 3 and calls == ["hybrid"]
