@@ -28,3 +28,9 @@ def test_grid_searches_once(spark, tmp_path, monkeypatch):
     calls, own = [], rt.searched
     monkeypatch.setattr(rt, "searched", lambda *a: calls.append(a[3]) or own(*a))
     assert ev.eval_grid(spark, root(spark, tmp_path)).count() == 3 and calls == ["hybrid"]
+
+
+def test_compare_searches_once(spark, tmp_path, monkeypatch):
+    calls, own = [], rt.searched
+    monkeypatch.setattr(rt, "searched", lambda *a: calls.append(a[3]) or own(*a))
+    assert ev.eval_compare(spark, root(spark, tmp_path)).count() == 3 and calls == ["hybrid"]
