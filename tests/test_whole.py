@@ -34,3 +34,10 @@ def test_compare_searches_once(spark, tmp_path, monkeypatch):
     calls, own = [], rt.searched
     monkeypatch.setattr(rt, "searched", lambda *a: calls.append(a[3]) or own(*a))
     assert ev.eval_compare(spark, root(spark, tmp_path)).count() == 3 and calls == ["hybrid"]
+
+
+def test_failures_read_no_texts(spark, tmp_path):
+    r = root(spark, tmp_path)
+    got = ev.failures(spark.read.parquet(f"{r}/chunks.parquet"), rt.asked(spark, r))
+    assert {(x.qid, x.verdict, x["rank"]) for x in got.collect()} == {("q-000", "hit", 1), ("q-020", "hit", 1)}
+    assert got._jdf.queryExecution().executedPlan().toString().count("text#") == 0
