@@ -41,3 +41,8 @@ def test_failures_read_no_texts(spark, tmp_path):
     got = ev.failures(spark.read.parquet(f"{r}/chunks.parquet"), rt.asked(spark, r))
     assert {(x.qid, x.verdict, x["rank"]) for x in got.collect()} == {("q-000", "hit", 1), ("q-020", "hit", 1)}
     assert got._jdf.queryExecution().executedPlan().toString().count("text#") == 0
+
+
+def test_totals_over_chunks_with_copies(spark, tmp_path):
+    r = ev.failure_summary(spark, root(spark, tmp_path)).first()
+    assert (r.total, r.hit, r.overlap_hit) == (2, 2, 1.0)
