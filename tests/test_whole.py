@@ -46,3 +46,9 @@ def test_failures_read_no_texts(spark, tmp_path):
 def test_totals_over_chunks_with_copies(spark, tmp_path):
     r = ev.failure_summary(spark, root(spark, tmp_path)).first()
     assert (r.total, r.hit, r.overlap_hit) == (2, 2, 1.0)
+
+
+def test_rerank_searches_once(spark, tmp_path, monkeypatch):
+    calls, own = [], rt.searched
+    monkeypatch.setattr(rt, "searched", lambda *a: calls.append(a[3]) or own(*a))
+    assert tuple(ev.rerank_ab(spark, root(spark, tmp_path)).first()) == (2, 2, 2, 0, 0) and calls == ["bm25"]
