@@ -52,3 +52,12 @@ def test_rerank_searches_once(spark, tmp_path, monkeypatch):
     calls, own = [], rt.searched
     monkeypatch.setattr(rt, "searched", lambda *a: calls.append(a[3]) or own(*a))
     assert tuple(ev.rerank_ab(spark, root(spark, tmp_path)).first()) == (2, 2, 2, 0, 0) and calls == ["bm25"]
+
+
+def test_hybrid_takes_both_arms_of_one_search(spark, tmp_path):
+    r = root(spark, tmp_path)
+    c, q = spark.read.parquet(f"{r}/chunks.parquet"), rt.asked(spark, r)
+    arms = rt.searched(c, q, rt.POOL, "hybrid")
+    want = rt.rrf(arms.select("qid", "strategy", "arm", "chunk_id", "rank"), ["qid", "strategy"], "chunk_id", rt.TOP)
+    rows = lambda d: sorted((x.qid, x["rank"], x.chunk_id) for x in d.collect())
+    assert rows(rt.cited(c, q, "hybrid")) == rows(want)
