@@ -61,3 +61,9 @@ def test_hybrid_takes_both_arms_of_one_search(spark, tmp_path):
     want = rt.rrf(arms.select("qid", "strategy", "arm", "chunk_id", "rank"), ["qid", "strategy"], "chunk_id", rt.TOP)
     rows = lambda d: sorted((x.qid, x["rank"], x.chunk_id) for x in d.collect())
     assert rows(rt.cited(c, q, "hybrid")) == rows(want)
+
+
+def test_shared_terms_are_the_overlap(spark):
+    d = spark.createDataFrame([("Tatimi mbi pagën", "pagat dhe tatimet"), ("tjeter", "x"), (None, None), ("akti", "akti akti"), ("akti i ri", None)], "q string, t string")
+    got = d.select(rt.shared_terms(F.col("q"), F.col("t")).alias("a"), rt.overlap(tx.tokens(F.col("q")), tx.tokens(F.col("t"))).alias("b")).collect()
+    assert [x.a for x in got] == [x.b for x in got]
