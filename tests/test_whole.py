@@ -67,3 +67,9 @@ def test_shared_terms_are_the_overlap(spark):
     d = spark.createDataFrame([("Tatimi mbi pagën", "pagat dhe tatimet"), ("tjeter", "x"), (None, None), ("akti", "akti akti"), ("akti i ri", None)], "q string, t string")
     got = d.select(rt.shared_terms(F.col("q"), F.col("t")).alias("a"), rt.overlap(tx.tokens(F.col("q")), tx.tokens(F.col("t"))).alias("b")).collect()
     assert [x.a for x in got] == [x.b for x in got]
+
+
+def test_extracts_over_chunks_with_copies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rt, "store_postings", None)
+    got = rt.answers_extractive(spark, root(spark, tmp_path)).collect()
+    assert len(got) == len({(x.qid, x["rank"]) for x in got}) > 0
