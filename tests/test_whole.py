@@ -73,3 +73,8 @@ def test_extracts_over_chunks_with_copies(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(rt, "store_postings", None)
     got = rt.answers_extractive(spark, root(spark, tmp_path)).collect()
     assert len(got) == len({(x.qid, x["rank"]) for x in got}) > 0
+
+
+def test_contexts_without_stored_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rt, "store_postings", None)
+    assert {x.qid for x in ix.answer_contexts(spark, root(spark, tmp_path)).collect()} == {"q-000", "q-020"}
