@@ -78,3 +78,8 @@ def test_extracts_over_chunks_with_copies(spark, tmp_path, monkeypatch):
 def test_contexts_without_stored_postings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(rt, "store_postings", None)
     assert {x.qid for x in ix.answer_contexts(spark, root(spark, tmp_path)).collect()} == {"q-000", "q-020"}
+
+
+def test_responses_without_stored_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rt, "store_postings", None)
+    assert {x.qid: x.state for x in an.answers_responded(spark, root(spark, tmp_path)).collect()} == {"q-000": "extract", "q-020": "generated"}
