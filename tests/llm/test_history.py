@@ -110,3 +110,13 @@ def test_a_hot_hash_and_rows_with_one_number(spark):
     u = "https://x.example/akte/{}.pdf"
     rows = [(i, i // 100, "same" if i % 3 else f"h{i}", u.format(i), 3, None) for i in range(300)] + [(300, 3, "same", u.format(7), 3, None)] * 2
     assert found(spark, rows) == {i for i in range(2, 300) if i % 3} | {300}
+
+
+def test_plans_of_small_batches_are_not_compiled(spark, monkeypatch):
+    """A small batch compiles no stages, a large one does; the cases are the same and the setting is given back."""
+    seen, take, before = [], h.take, spark.conf.get(h.CODEGEN)
+    monkeypatch.setattr(h, "take", lambda index, batch: seen.append(spark.conf.get(h.CODEGEN)) or take(index, batch))
+    monkeypatch.setattr(h, "COMPILED", 3)
+    u = "https://x.example/akte/{}.pdf"
+    rows = [(1, 0, "aa", u.format(1), 5, None), (2, 0, "bb", u.format(2), 5, None), (3, 0, "cc", u.format(3), 5, None), (4, 1, "aa", u.format(4), 5, None), (5, 1, "dd", u.format(5), 5, None)]
+    assert found(spark, rows) == {4} and seen == ["true", "false"] and spark.conf.get(h.CODEGEN) == before
