@@ -104,3 +104,43 @@ def test_skipped_postings_change_no_hit(monkeypatch):
             s = np.tile(sum(w * part[t] for t, w in terms), 2)
             got, places = best.ordered(q)
             assert np.allclose(got, np.sort(s)[::-1][: len(got)], atol=1e-8) and np.allclose(got, s[places], atol=1e-8) and len(got) == min(5, (s > 0).sum())
+
+
+def test_f10_many_questions_at_once_change_no_hit():
+    """Questions screened together, in both arms: the hits of every score, ties included."""
+    row, texts = made()
+    rng, names = np.random.default_rng(4), sorted({t for d in texts for t in d})
+    asked = [[(int(t), float(rng.random() * (t + 1)) - (q % 9 == 0)) for t in rng.choice(len(names), 8, replace=False)] for q in range(40)] + [[], [(0, 2.0)]]
+    part = np.array([[d.count(t) / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / 10)) if d else 0 for d in texts] for t in names])
+    name = lambda places: [f"c{p % 600:03}{p // 600}" for p in places]
+    vectors = np.array([rt.hashed_vector(" ".join(names[t] for t, _ in own)) for own in asked])
+    block = blocks._Block(row, 10.0)
+    all_dense = np.round(vectors @ np.array([rt.hashed_vector(" ".join(t)) for t in texts]).T, 9)
+    all_lexical = np.array([np.round(sum((w * part[t] for t, w in own), np.zeros(600)), 9) for own in asked])
+    for k in (1, 5, 50):
+        lexical, dense = (blocks._Many(len(asked), k, name) for _ in range(2))
+        for offset in (0, 600):
+            blocks._lexical_many(lexical, block, offset, blocks._Asked(pa.array(names), asked))
+            blocks._dense_many(dense, *block.vectors(), offset, vectors)
+        for best, scores in ((lexical, all_lexical), (dense, all_dense)):
+            q, got, places = best.rows()
+            for i, s in enumerate(np.tile(scores, 2)):
+                want = sorted((p for p in range(1200) if s[p] > 0), key=lambda p: (-s[p], name([p])[0]))[:k]
+                assert np.allclose(got[q == i], s[want], atol=2e-9) and len(set(places[q == i])) == len(want)
+                assert (np.round(s, 6)[places[q == i]] == np.round(s, 6)[want]).all()
+
+
+def test_f10_hits_of_every_mode_leave_the_search(spark):
+    """The search itself fuses and cites, with the hits that the arms give, whether a task sees all chunks or not."""
+    c, q = corpus(spark)
+    modes = ("dense", "bm25", "hybrid")
+    arms = rt.searched(c, q, rt.POOL, "hybrid")
+    rows = lambda d, m: sorted((m, r.qid, r.strategy, r["rank"], r.chunk_id, r.doc_id) for r in d.collect())
+    want = [x for m in sorted(modes) for x in rows(rt.fused(arms, m, 5), m)]
+    got = rt.searched(c, q, rt.POOL, "hybrid", modes, 5).collect()
+    assert sorted((r.mode, r.qid, r.strategy, r["rank"], r.chunk_id, r.doc_id) for r in got) == want
+
+
+def test_f10_hits_of_every_mode_over_groups_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "GROUP_CHUNKS", 150)
+    test_f10_hits_of_every_mode_leave_the_search(spark)
